@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, sharding, token_files, topk, toxicity
+from . import decontamination, jaccard, pieces, quality, sharding, surrogates, token_files, topk, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,14 +56,27 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": op2_quality_classifier,
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_token_files": op6_token_files,
         "op7_exact_top_k": op7_exact_top_k,
         "op8_sharding": op8_sharding,
+        "op9_pii_surrogates": op9_pii_surrogates,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
