@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, pieces, quality, sharding, surrogates, token_files, topk, toxicity
+from . import decontamination, jaccard, pieces, quality, sharding, surrogates, token_counts, token_files, topk, toxicity
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(table(spark, sf_dir, "documents"))
+
+
+#: chr(9) to chr(13) and space part words; the history is that of token_counts.maintained.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, text FROM documents WHERE doc_id IS NULL OR doc_id % 10 NOT IN (0, 1)
+  UNION ALL
+  SELECT doc_id, 'revised', lang, text || ' ' || text FROM documents WHERE doc_id % 10 = 1),
+c AS (
+  SELECT source, lang, 'words-1' AS version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM d
+  UNION ALL
+  SELECT source, lang, 'bytes-1', coalesce(strlen(text), 0) FROM d)
+SELECT source, lang, version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM c GROUP BY ALL
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,9 +59,9 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB lists count from 1; scores of equal rows are ordered by vec_id.
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
@@ -68,6 +86,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
@@ -81,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL}
+    return {"op1_token_counts": OP1_SQL, "op7_exact_top_k": OP7_SQL}

@@ -155,6 +155,20 @@ def score(docs: DataFrame, model: MilModel | None, threshold: float = 0.7, sente
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, predicted int, sentences array<struct<start:int,end:int,score:double>>")
 
 
+def kept(docs: DataFrame, model: MilModel | None, threshold: float = 0.7) -> DataFrame:
+    """docs without the documents that score threshold or more; all columns, one pass, no
+    shuffle: the rows are filtered where they are scored."""
+    cache = _WordWeights(model.weights if model else {})
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        least = -np.log1p(-threshold)
+        stay = [not (t and model and _log_or(sentence_scores(t, model, cache)) >= least) for t in batch.column(at).to_pylist()]
+        return batch.filter(pa.array(stay, pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """doc_id, held_out (fold 1 of 3, unused in fitting), score, predicted, sentences."""
     out = score(docs, fit(docs, labels, **sample))
