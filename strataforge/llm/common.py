@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,8 +55,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the context cleaner drop shuffle files of finished, unreferenced plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def crc_fold(doc_id: Column | str, modulus: int) -> Column:

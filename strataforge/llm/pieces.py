@@ -33,7 +33,7 @@ from .common import map_batches
 
 MARK = "▁"
 RUN = re.compile(r" ?[^ \n]+|[ \n]")
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 3_000_000
 _B = np.array([0x9E3779B97F4A7C15], np.uint64)
 _SLOTS = 20
 
@@ -110,14 +110,13 @@ class Lattice:
 
 def lattice(runs: list[str], v: Vocabulary) -> Lattice:
     sizes = np.array([len(r) for r in runs], dtype=np.int64)
-    codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    run = np.repeat(np.arange(len(runs)), sizes)
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    place = np.arange(len(codes)) - base[run]
-    left = sizes[run] - place                      # characters from here to the run's end
-    node = np.arange(len(codes)) + run             # each run has one node more than characters
+    codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<i4")
+    run = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
+    base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
+    at = np.arange(len(codes), dtype=np.int32)
+    left = (base + sizes.astype(np.int32))[run] - at  # characters from here to the run's end
+    node = at + run                                   # each run has one node more than characters
     h = np.zeros(len(codes), np.uint64)
-    at = np.arange(len(codes))
     starts, ends, pieces, logs, lengths = [], [], [], [], []
     single = np.zeros(len(codes), dtype=bool)
     for size in range(1, v.max_len + 1):
@@ -134,9 +133,9 @@ def lattice(runs: list[str], v: Vocabulary) -> Lattice:
             single[here] = True
         starts.append(node[here])
         ends.append(node[here] + size)
-        pieces.append(ids)
+        pieces.append(ids.astype(np.int32))
         logs.append(v.log_weight[ids])
-        lengths.append(np.full(len(here), size, np.int64))
+        lengths.append(np.full(len(here), size, np.int8))
     bare = np.flatnonzero(~single)
     if len(bare):
         kinds, which = np.unique(codes[bare], return_inverse=True)
@@ -145,20 +144,21 @@ def lattice(runs: list[str], v: Vocabulary) -> Lattice:
         ends.append(node[bare] + 1)
         pieces.append(-1 - codes[bare])
         logs.append(weight[which])
-        lengths.append(np.ones(len(bare), np.int64))
+        lengths.append(np.ones(len(bare), np.int8))
     start, end, piece, log, length = map(np.concatenate, (starts, ends, pieces, logs, lengths))
-    first = base + np.arange(len(runs))
+    first = base + np.arange(len(runs), dtype=np.int32)
     total = np.full(len(codes) + len(runs), -np.inf)
     total[first] = 0
     # all edges that end t characters into their run, by t and then by length
-    depth = end - first[np.searchsorted(first, end, side="right") - 1]
-    order = np.lexsort((length, depth))
-    step = depth[order] * (v.max_len + 1) + length[order]
+    depth = (end - np.repeat(first, sizes + 1)[end]).astype(np.int64)
+    step = depth * (v.max_len + 1) + length
+    order = np.argsort(step, kind="stable")
+    step = step[order]
     cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]])) if len(step) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1], cuts[1:]):
         e = order[a:b]
         total[end[e]] = np.logaddexp(total[end[e]], total[start[e]] + log[e])
-    order = np.lexsort((start, end))
+    order = np.argsort(end, kind="stable")
     start, end, piece, log = start[order], end[order], piece[order], log[order]
     share = np.exp(total[start] + log - total[end])
     # the running share starts afresh at each node; its last value there is exactly 1

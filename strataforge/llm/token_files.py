@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 1_200_000
 GROUP_BYTES = 2_000_000
 READ_ROWS = 8192
 
@@ -45,10 +45,15 @@ class WordCachedEncoder:
     """Encodes with the tokenizers library, each distinct run between ASCII spaces once.
 
     The tokenizers meant here drop white space before their merges, so no token spans it and
-    the ids of a text are those of its runs in order. Others (white space kept) go whole.
+    the ids of a text are those of its runs in order. Of runs of Latin letters, digits and
+    marks, the parts into which the tokenizer's own pattern splits the lower-cased run are
+    kept too, as many runs share them. Tokenizers of another build get whole texts.
     """
 
     def __init__(self, path: str):
+        import json as js
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,23 +61,99 @@ class WordCachedEncoder:
         probe = [self._whole("a b"), self._whole("a") + self._whole("b"), self._whole("a \n\tb")]
         self.by_word = probe[0] == probe[1] == probe[2]
         self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        build = js.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (build["normalizer"] or {}).get("normalizers", [])]
+        split = ((build["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.pattern = None
+        if set(normal) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in normal and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert"):
+            self.pattern = regex.compile(split["pattern"]["Regex"])
+        # a vocabulary with a word-end suffix says where each part of a text ends
+        suffix = build["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.pattern:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        # NFC leaves characters below U+0240 as they are; special tokens start with <|
+        self.odd = regex.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc9-\xff]|\xc2[\x80-\xa0]|<[|]")
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that the pattern leaves whole: encoded many to a text, and told apart
+        by the ids that end a word, where the vocabulary marks those."""
+        if self.ends is None:
+            return self._batch(parts)
+        runs = [parts[i:i + 256] for i in range(0, len(parts), 256)]
+        out = []
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(run):
+                out += self._batch(run)
+                continue
+            raw, at, size = ids.tobytes(), 0, self.dtype.itemsize
+            for cut in (cuts * size).tolist():
+                out.append(raw[at:cut])
+                at = cut
+        return out
+
+    def _learn(self, new: list[bytes], check: bool) -> None:
+        """check: whether a run may hold characters that the pattern alone can't deal with."""
+        if len(self.parts) > MAX_CACHED_WORDS // 2:
+            self.parts.clear()
+        parts, whole, odd, findall = [], [], self.odd.search, self.pattern.findall if self.pattern else None
+        for i, w in enumerate(new):
+            if findall is None or (check and odd(w)):
+                whole.append(i)
+                parts.append(None)
+                continue
+            t = w.decode().lower()
+            if t.isalpha():
+                parts.append((t,))
+            elif t[:-1].isalpha() and t[-1] in ".,;:?!":
+                parts.append((t[:-1], t[-1]))
+            else:
+                parts.append(findall(t))
+        for i, ids in zip(whole, self._batch([new[i].decode() for i in whole])):
+            self.words[new[i]] = ids
+        missing = list({x for p in parts if p for x in p}.difference(self.parts))
+        self.parts.update(zip(missing, self._parts(missing)))
+        get, put, join = self.parts.__getitem__, self.words.__setitem__, b"".join
+        for w, p in zip(new, parts):
+            if p is not None:
+                put(w, get(p[0]) if len(p) == 1 else join(map(get, p)))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed integers."""
         if not self.by_word:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        if len(self.words) > MAX_CACHED_WORDS:
-            self.words.clear()
-        split, words = [t.split() for t in texts], self.words
-        new = list({w for ws in split for w in ws if w not in words})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                words[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([words[w] for w in ws]) for ws in split]
+            return self._batch([t.decode() for t in texts])
+        split, distinct, words = [t.split() for t in texts], set(), self.words
+        for ws in split:
+            distinct.update(ws)
+        if len(words) > MAX_CACHED_WORDS:
+            words.clear()
+        new = [w for w in distinct if w not in words]
+        if new:
+            self._learn(new, any(self.odd.search(t) for t in texts))
+        # a table of this group's runs stays in the processor's caches
+        get = {w: words[w] for w in distinct}.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
+
+
+_ENCODERS: dict[str, WordCachedEncoder] = {}
+
+
+def encoder_for(path: str) -> WordCachedEncoder:
+    """One encoder, and so one cache, for each Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordCachedEncoder(path)
+    return _ENCODERS[path]
 
 
 def groups(values: list, most: int) -> Iterator[list]:
@@ -99,7 +180,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> d
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordCachedEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
         where, root = _located(path)
         k, mine = TaskContext.get().partitionId(), uuid.uuid4().hex

@@ -25,7 +25,7 @@ from .common import crc_fold, labelled_sample, map_batches
 SENTENCE = re.compile(r"[.!?\n]+[\s]*")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 200_000
 
 
 @dataclass(frozen=True)
