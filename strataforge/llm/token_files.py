@@ -22,8 +22,10 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 MAX_CACHED_WORDS = 1_200_000
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 4_000_000
 READ_ROWS = 8192
 
 
@@ -129,21 +131,89 @@ class WordCachedEncoder:
             if p is not None:
                 put(w, get(p[0]) if len(p) == 1 else join(map(get, p)))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as packed integers."""
+    def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, each text followed by end, and where
+        each text ends."""
+        tail = np.array([] if end is None else [end], self.dtype)
         if not self.by_word:
-            return self._batch([t.decode() for t in texts])
-        split, distinct, words = [t.split() for t in texts], set(), self.words
-        for ws in split:
-            distinct.update(ws)
+            ids = [np.append(np.frombuffer(x, self.dtype), tail) for x in self._batch([t.decode() for t in texts])]
+            return np.concatenate(ids), np.cumsum([len(x) for x in ids])
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        kind, start, stop = distinct_runs(data)
+        raw = data.tobytes()
+        runs = [raw[i:j] for i, j in zip(start[kind.first].tolist(), stop[kind.first].tolist())]
+        words = self.words
         if len(words) > MAX_CACHED_WORDS:
             words.clear()
-        new = [w for w in distinct if w not in words]
+        new = [w for w in runs if w not in words]
         if new:
-            self._learn(new, any(self.odd.search(t) for t in texts))
-        # a table of this group's runs stays in the processor's caches
-        get = {w: words[w] for w in distinct}.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            self._learn(new, self.odd.search(raw) is not None)
+        packed = [words[w] for w in runs]
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        size = np.array([len(p) for p in packed], np.int64) // self.dtype.itemsize
+        origin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        # a text's end counts as one more run, of the end id alone
+        last = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+        n = len(texts) if end is not None else 0
+        which = np.insert(kind.number, last, len(runs)) if n else kind.number
+        flat, size, origin = np.append(flat, tail), np.append(size, len(tail)), np.append(origin, len(flat))
+        counts = size[which]
+        before = np.cumsum(counts) - counts
+        total = int(counts.sum())
+        at = np.ones(total, np.int64)
+        full = counts > 0
+        jump = origin[which][full]
+        step = before[full]
+        at[step] = jump
+        at[step[1:]] -= jump[:-1] + counts[full][:-1] - 1
+        ids = flat[np.cumsum(at)] if total else flat[:0]
+        ends = np.append(before, total)[last + (np.arange(1, len(texts) + 1) if n else 0)]
+        return ids, ends
+
+
+@dataclass
+class Distinct:
+    number: np.ndarray  # of each run, which distinct run it is
+    first: np.ndarray   # of each distinct run, the first place it has
+
+
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def distinct_runs(data: np.ndarray) -> tuple[Distinct, np.ndarray, np.ndarray]:
+    """The runs of non-space bytes of data, which ends in a space: which are equal, where they
+    start and stop. Equal hashes are compared byte by byte, so the answer is exact."""
+    if len(_POWERS[0]) < len(data):
+        for i, base in enumerate((_MULTIPLIER, _INVERSE)):
+            factor = np.full(len(data), np.uint64(base))
+            factor[0] = 1
+            _POWERS[i] = np.cumprod(factor)
+    space = _IS_SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, stop = edge[::2], edge[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:len(data)])])
+    h = (sums[stop] - sums[start]) * _POWERS[1][start]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    number, values = pd.factorize(h)
+    first = np.full(len(values), len(h), np.int64)
+    first[number[::-1]] = np.arange(len(h) - 1, -1, -1)
+    size = stop - start
+    same = size == size[first[number]]
+    if same.all() and len(size):
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = np.array([np.array_equal(data[np.repeat(start, size) + within], data[np.repeat(start[first[number]], size) + within])])
+    if len(size) and not same.all():
+        seen: dict[bytes, int] = {}
+        raw = data.tobytes()
+        number = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(start.tolist(), stop.tolist())])
+        first = np.full(len(seen), len(h), np.int64)
+        first[number[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return Distinct(number, first), start, stop
 
 
 _ENCODERS: dict[str, WordCachedEncoder] = {}
@@ -181,7 +251,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> d
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_for(tokenizer_path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         where, root = _located(path)
         k, mine = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = {x: (f"{root}/.{mine}.{x}", f"{root}/part-{k:06d}.{x}") for x in ("bin", "idx", "ids")}
@@ -199,11 +268,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> d
             files["ids"].write(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             texts = [v or b"" for v in batch.column(1).cast(pa.large_binary()).to_pylist()]
             for some in groups(texts, GROUP_BYTES):
-                packed = [p + end for p in encoder.encode(some)]
-                files["bin"].write(b"".join(packed))
-                ends = tokens + np.cumsum([len(p) // encoder.dtype.itemsize for p in packed], dtype="<i8")
-                files["idx"].write(ends.astype("<i8").tobytes())
-                tokens = int(ends[-1])
+                packed, ends = encoder.encode(some, end_id)
+                files["bin"].write(packed.tobytes())
+                files["idx"].write((tokens + ends).astype("<i8").tobytes())
+                tokens += len(packed)
         if files is not None:
             for x, (a, b) in names.items():
                 files[x].close()
