@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,11 +71,11 @@ def test_mmr_is_greedy_and_bounded():
 
 
 def test_recommend_is_its_parts(spark):
-    rows = [("a", "us", [1.0, 0, 0]), ("b", "us", [.8, .2, 0]), ("c", "us", [0, 1.0, 0]), ("d", "eu", [0, 0, 1.0])]
+    rows = [("a", "us", [1.0, 0.0, 0.0]), ("b", "us", [.8, .2, 0.0]), ("c", "us", [0.0, 1.0, 0.0]), ("d", "eu", [0.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "id string, region string, emb array<double>")
-    slate, stages = ranking.recommend(df, "emb", [1.0, 0, 0], 2, "id", "region = 'us'", diversified=False)
+    slate, stages = ranking.recommend(df, "emb", [1.0, 0.0, 0.0], 2, "id", "region = 'us'", diversified=False)
     assert [r.id for r in slate.orderBy("slot").collect()] == ["a", "b"]
-    slate, _ = ranking.recommend(df, "emb", [1.0, 0, 0], 2, "id", "region = 'us'", lam=.1)
+    slate, _ = ranking.recommend(df, "emb", [1.0, 0.0, 0.0], 2, "id", "region = 'us'", lam=.1)
     assert [r.id for r in slate.orderBy("slot").collect()] == ["a", "c"]
     assert {r.stage: (r.n_in, r.n_out) for r in stages.collect()}["filter"] == (4, 3)
 
@@ -142,7 +143,7 @@ def test_a_fast_view_ignores_repeated_batches(spark, tmp_path):
     go()
     df.where("index >= 10").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     go()
-    assert sorted((r.k, r.index) for r in store.read("v").collect()) == [(0, 18), (1, 19), (2, 17)]
+    assert sorted((r.k, r["index"]) for r in store.read("v").collect()) == [(0, 18), (1, 19), (2, 17)]
     assert len(store.versions("v")) == 2
 
 
@@ -152,7 +153,11 @@ def test_stream_decisions_equal_batch_decisions(spark, tmp_path):
     df = spark.createDataFrame(hits, "user int, event long, sec long")
     df.coalesce(1).write.parquet(f"{tmp_path}/hits")
     out = live.decide_stream(live.follow(spark, f"{tmp_path}/hits"), ["user"], "sec", limit=3, window=100)
-    q = out.writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = out.writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    # a query with processing-time timeouts never ends by itself
+    until = time.time() + 60
+    while time.time() < until and spark.table("decided").count() < len(hits):
+        time.sleep(.5)
+    q.stop()
     streamed = sum(r.allowed for r in spark.table("decided").collect())
     assert streamed == sum(replay(hits, limit=3, window=100).values())
