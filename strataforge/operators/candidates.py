@@ -156,3 +156,39 @@ def geo_audience(df: DataFrame, lat: str, lon: str, centre: tuple[float, float],
         out = out.where(spatial.geohash(F.col(lat), F.col(lon), precision).isin(cell, *spatial.neighbours(cell)))
     out = out.withColumn("score", spatial.haversine(F.col(lat), F.col(lon), *here)).where(F.col("score") <= metres)
     return out.orderBy("score").limit(limit) if limit else out
+
+
+# ---- lifecycle
+
+class Registry:
+    """Named indexes of one session: built before they are known, described, rebuilt from the
+    current table, so no stale entries survive."""
+
+    KINDS = {
+        "trigram": lambda df, c: trigram_index(df, c["key"], c["field"]),
+        "minhash": lambda df, c: minhash_bands(df, c["key"], F.col(c["field"]), c.get("k", 128), c.get("r", 8)),
+        "simhash": lambda df, c: simhash(df, c["key"], c["field"]),
+        "vectorlsh": lambda df, c: lsh_buckets(df, c["key"], c["field"], hyperplanes(c["dim"], c.get("sketches", 8), c.get("bits_per_sketch", 12))),
+    }
+
+    def __init__(self):
+        self.known: dict[str, dict] = {}
+
+    def create(self, name: str, kind: str, df: DataFrame, **config) -> DataFrame:
+        if name in self.known:
+            raise ValueError(f"index {name} exists")
+        if kind == "ann":
+            kind, config = "vectorlsh", {**config, **index_config(config)}
+        if kind not in self.KINDS:
+            raise ValueError(f"unknown index kind {kind!r}")
+        table = self.KINDS[kind](df, config)
+        self.known[name] = {"name": name, "kind": kind, "config": config, "table": table}
+        return table
+
+    def describe(self, name: str) -> dict:
+        return {k: v for k, v in self.known[name].items() if k != "table"}
+
+    def rebuild(self, name: str, df: DataFrame) -> DataFrame:
+        e = self.known[name]
+        e["table"] = self.KINDS[e["kind"]](df, e["config"])
+        return e["table"]

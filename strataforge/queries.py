@@ -174,6 +174,33 @@ def _(s, d):
     return back.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
+@query("A13", f"WITH p AS (SELECT c_custkey, ((c_custkey * 37) % 18000) / 100.0 - 90 AS lat, ((c_custkey * 91) % 36000) / 100.0 - 180 AS lon FROM customer) SELECT c_custkey FROM p WHERE lat BETWEEN -10 AND 35 AND lon BETWEEN 5 AND 95 ORDER BY c_custkey LIMIT 40")
+def _(s, d):
+    p = _places(s, d)
+    return p.where(spatial.in_box(F.col("lat"), F.col("lon"), -10, 5, 35, 95)).select("c_custkey").orderBy("c_custkey").limit(40)
+
+
+@query("A17", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def _(s, d):
+    """A scan of every shard: Spark's tasks are the peers."""
+    o = read(s, d, "orders").select("o_orderkey", "o_totalprice")
+    return tables.union_shards([tables.scan(o.where(F.pmod("o_orderkey", F.lit(2)) == i), "o_totalprice > 100000") for i in range(2)], ["o_orderkey"])
+
+
+@query("A21", "SELECT user_id, event_type, max(event_id) AS index FROM events GROUP BY 1, 2")
+def _(s, d):
+    from .streaming import live
+
+    return live.fast_view_of_events(s, f"{d}/events.parquet", _store(s))
+
+
+@query("A22", "SELECT r_regionkey, r_name FROM region")
+def _(s, d):
+    store = _store(s)
+    views.backup(store, "region", read(s, d, "region"), 0)
+    return views.restore(store, "region", "copy")
+
+
 # ---- B. projection, filter, predicates
 
 _PART = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
@@ -271,6 +298,13 @@ def _(s, d):
     return _database(s, d).sql("SELECT c_custkey, c_mktsegment FROM customer ALLOW SCAN WHERE c_mktsegment = ? AND c_acctbal < ? ORDER BY c_custkey LIMIT 1000", ["BUILDING", 1000]).rows
 
 
+@query("B14", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'named' ELSE n_name END AS n_name FROM nation")
+def _(s, d):
+    db = _database(s, d, nation=read(s, d, "nation").select("n_nationkey", "n_name"))
+    db.update_item("nation", {"n_nationkey": 3}, "SET #n = :v", {"#n": "n_name"}, {":v": "named"})
+    return db.table("nation").data
+
+
 @query("B15", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000 ORDER BY o_orderkey LIMIT 4")
 def _(s, d):
     return _database(s, d).sql("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000 LIMIT 4").rows
@@ -544,6 +578,12 @@ def _(s, d):
     return db.table("nation").data
 
 
+@query("F10", "SELECT c_custkey, c_acctbal + 7.5 AS c_acctbal FROM customer WHERE c_custkey = 12")
+def _(s, d):
+    db = _database(s, d, customer=read(s, d, "customer").select("c_custkey", "c_acctbal"))
+    return db.update_item("customer", {"c_custkey": 12}, "SET c_acctbal = c_acctbal + :x", None, {":x": 7.5}, "attribute_exists(c_acctbal)", "ALL_NEW").rows
+
+
 @query("F11", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 77, 'seventy-seven'")
 def _(s, d):
     r = read(s, d, "region")
@@ -570,6 +610,17 @@ def _(s, d):
     return read(s, d, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates(["l_orderkey", "l_linenumber"])
 
 
+@query("F15", "SELECT 'counter columns can''t be written: hits' AS refused")
+def _(s, d):
+    items = s.createDataFrame([("a", 1.0)], "id string, hits double")
+    try:
+        changes.guard_counters(items, ["hits"])
+        said = ""
+    except ValueError as e:
+        said = str(e)
+    return s.createDataFrame([(said,)], "refused string")
+
+
 @query("F16", "SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal > 1000 UNION ALL SELECT c_custkey + 50000000, c_acctbal + 1 FROM customer WHERE false")
 def _(s, d):
     c = read(s, d, "customer").select("c_custkey", "c_acctbal")
@@ -831,6 +882,26 @@ def _(s, d):
     return p.where(F.col("cell").isin("s00", *spatial.neighbours("s00"))).select("c_custkey", "cell")
 
 
+@query("I11")
+def _(s, d):
+    c = candidates.index_config({"field": "v", "dim": 64, "sketches": 12, "bits_per_sketch": 6})
+    e = read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return candidates.ann_search(e, e.where("vec_id % 25 = 0"), "vec_id", c["field"], 5, c["metric"], candidates.hyperplanes(c["dim"], c["sketches"], c["bits_per_sketch"])).select("query_id", "vec_id", "rank")
+
+
+@query("I12", "SELECT DISTINCT c_custkey, substr(c_name, i, 3) AS gram FROM customer, range(1, 200) t(i) WHERE i <= length(c_name) - 2")
+def _(s, d):
+    r = candidates.Registry()
+    return r.create("names", "trigram", read(s, d, "customer"), key="c_custkey", field="c_name")
+
+
+@query("I13", "SELECT DISTINCT c_custkey, substr(c_name, i, 3) AS gram FROM customer, range(1, 200) t(i) WHERE i <= length(c_name) - 2 AND c_custkey % 2 = 0")
+def _(s, d):
+    r, c = candidates.Registry(), read(s, d, "customer")
+    r.create("names", "trigram", c, key="c_custkey", field="c_name")
+    return r.rebuild("names", c.where("c_custkey % 2 = 0"))
+
+
 # ---- J. top-k and filtered search
 
 @query("J1", f"WITH {_VEC} SELECT vec_id, round(list_cosine_distance(v, q), 6) AS distance FROM v WHERE vec_id <> 0 ORDER BY round(list_cosine_distance(v, q), 9), vec_id LIMIT 10")
@@ -1037,6 +1108,40 @@ def _(s, d):
     return out.select("index", F.map_contains_key("delta", "event_type").alias("type_changed"))
 
 
+def _streamed(s, d):
+    db = _database(s, d, nation=read(s, d, "nation").where("n_nationkey < 3").select("n_nationkey", "n_name", (F.col("n_nationkey") * 100).alias("expires")))
+    db.update_stream("nation", True, "NEW_IMAGE", 3600)
+    db.sql("INSERT INTO nation (n_nationkey, n_name, expires) VALUES (77, 'new', 5)")
+    db.sql("UPDATE nation SET n_name = 'changed' WHERE n_nationkey = 1")
+    return db
+
+
+@query("N3", "SELECT 1::BIGINT AS index, 'INSERT' AS kind UNION ALL SELECT 2, 'MODIFY'")
+def _(s, d):
+    return _streamed(s, d).stream_records("nation").select("index", "kind")
+
+
+@query("N7", "SELECT 'nation' AS name, false AS enabled")
+def _(s, d):
+    db = _streamed(s, d)
+    return s.createDataFrame([("nation", db.update_stream("nation", False)["enabled"])], "name string, enabled boolean")
+
+
+@query("N8", "SELECT 'nation' AS name, 'NEW_IMAGE' AS view_type, 2::BIGINT AS last")
+def _(s, d):
+    db = _streamed(s, d)
+    rows = [(n, db.describe_stream(n)["view"], db.describe_stream(n)["last"]) for n in db.list_streams()]
+    return s.createDataFrame(rows, "name string, view_type string, last long")
+
+
+@query("N10", "SELECT 0::INTEGER AS n_nationkey UNION ALL SELECT 2")
+def _(s, d):
+    db = _streamed(s, d)
+    db.update_ttl("nation", "expires")
+    db.reap("nation", 150)
+    return db.table("nation").data.select(F.col("n_nationkey").cast("int").alias("n_nationkey"))
+
+
 @query("N4", "SELECT event_id FROM events WHERE event_id > 50 ORDER BY event_id LIMIT 40")
 def _(s, d):
     start = changes.start_index("AFTER_SEQUENCE_NUMBER", 0, 10**9, 50)
