@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -72,6 +73,14 @@ def binary_values(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Gives freed memory back: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with one result table for each input batch."""
 
@@ -83,6 +92,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.Reco
                     yield out
                 elif out is not None:
                     yield from out.to_batches()
+                out = batch = None
+        trim()
 
     return df.mapInArrow(run, schema)
 

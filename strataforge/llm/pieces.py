@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, trim
 
 MARK = "▁"
 RUN = re.compile(r" ?[^ \n]+|[ \n]")
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 1_500_000
 _B = np.array([0x9E3779B97F4A7C15], np.uint64)
 _SLOTS = 20
 
@@ -243,19 +244,20 @@ def _groups(texts: list, most: int = GROUP_CHARS):
 def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids of every row: the sampled segmentation. One pass, no shuffle."""
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path, alpha)
-        keys, texts = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        parts = []
-        for a, b in _groups(texts):
-            ids = sample_ids([t or "" for t in texts[a:b]], keys[a:b], v, seed)
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            none = pa.array([t is None for t in texts[a:b]] + [False])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32(), mask=none.to_numpy(zero_copy_only=False)), pa.array(np.concatenate(ids), pa.int32()))
-            parts.append(pa.table({"key": batch.column(0)[a:b], "ids": lists}))
-        return pa.concat_tables(parts)
-
-    return map_batches(docs.select(F.col(key).cast("long"), F.col(text).cast("string")), run, f"`{key}` long, ids array<int>")
+        for batch in batches:
+            keys, texts = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for a, b in _groups(texts):
+                ids = sample_ids([t or "" for t in texts[a:b]], keys[a:b], v, seed)
+                sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                none = np.array([t is None for t in texts[a:b]] + [False])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32(), mask=none), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["key", "ids"])
+                ids = lists = None
+                trim()
+
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{key}` long, ids array<int>")
 
 
 def decoded(encoded: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
