@@ -49,8 +49,16 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _TITLE_STARTS = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
-#: A cheap test that every mention passes: most texts stop here, at a character or two a place.
-HINT = rf"[@+]|\d(?:\d\d|\d{{0,2}}\.\d{{1,3}}\.\d)|(?=[psta{_TITLE_STARTS}])(?:password|passwd|pwd|secret|token|api[_-]?key|(?:{_ANY_TITLE})\.? \p{{Lu}})"
+#: A cheap test that every mention passes: most texts stop here, at a character or two a place. Each
+#: kind implies one of its forms: e-mail @, phone + or three digits, social security number three digits.
+_HINTS = [
+    "[@+]",
+    r"\d(?:\d\d|\d{0,2}\.\d{1,3}\.\d|(?:[ -]?\d){12})",  # also ip and card
+    rf"(?=[psta{_TITLE_STARTS}])(?:password|passwd|pwd|secret|token|api[_-]?key|(?:{_ANY_TITLE})\.? \p{{Lu}})",
+    r"(?=[A-Z][A-Z])(?:A(?:KI|SI)A[A-Z0-9]|[A-Z]{2}\d{2}[A-Z0-9]{11})",  # aws and iban
+    "[0-9a-f]{32}",
+]
+HINT = "|".join(_HINTS)
 # The letters that made-up names are put together from.
 LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}
 ENDINGS = {"latin": {"f": "a", "m": "n"}, "cyrillic": {"f": "а", "m": "н"}, "greek": {"f": "α", "m": "ς"}}
