@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Every benchmark item is cut into probes: overlapping windows of at most PROBE characters,
-each with an edit budget of RATE of its length. A text within e edits of a probe of L
+Every benchmark item is cut into probes: overlapping windows of at most PROBE characters and,
+in longer items, of SHORT characters at a small stride, each with an edit budget of RATE of its
+length. So any verbatim excerpt of SHORT + SHORT_STRIDE - 1 = 71 characters holds a whole probe,
+wherever in its item it lies. A text within e edits of a probe of L
 characters shares at least L + 1 - q - q * e of its q-grams with it, on diagonals at most e
 apart. So each document is scanned once: the q-grams it shares with the probes are counted
 in overlapping diagonal bands, bands that reach the bound become regions, and a banded
@@ -26,10 +28,12 @@ from .common import map_batches
 
 Q = 10
 PROBE, STRIDE = 96, 48
+SHORT, SHORT_STRIDE = 60, 12
 RATE = 0.07
 TABLE_BITS = 20
 GROUP_CHARS = 1_000_000
-MAX_BROADCAST_CHARS = 8_000_000
+MAX_BROADCAST_CHARS = 2_400_000   # a character lies in about seven probes
+PAD = 2 * PROBE                   # more than a window reaches beyond a text
 _BASE = 0x9E3779B97F4A7C15
 _B, _B2, _B4 = (np.uint64(pow(_BASE, k, 1 << 64)) for k in (1, 2, 4))
 _SEP = "\U0010ffff"
@@ -80,15 +84,17 @@ class ProbeIndex:
 
 def build_index(items: list[tuple[int, str]]) -> ProbeIndex:
     ids, probes, starts = [], [], []
-    for item_id, text in sorted(items):
-        codes = normalised(text.strip())[0]
-        if len(codes) < Q:
-            continue
-        last = max(0, len(codes) - PROBE)
-        for a in sorted({*range(0, last, STRIDE), last}):
-            ids.append(item_id)
-            starts.append(a)
-            probes.append(codes[a:a + PROBE])
+    whole = [(item_id, codes) for item_id, text in sorted(items) if len(codes := normalised(text.strip())[0]) >= Q]
+    # the long probes of all items come first, so that find_regions verifies them first
+    for size, stride in ((PROBE, STRIDE), (SHORT, SHORT_STRIDE)):
+        for item_id, codes in whole:
+            if size == SHORT and len(codes) <= SHORT:
+                continue
+            last = max(0, len(codes) - size)
+            for a in sorted({*range(0, last, stride), last}):
+                ids.append(item_id)
+                starts.append(a)
+                probes.append(codes[a:a + size])
     length = np.array([len(p) for p in probes], dtype=np.int64)
     budgets = (length * RATE).astype(np.int64)
     # where the lemma's bound is void the budget shrinks until it holds again
@@ -125,7 +131,11 @@ def banded_edits(probe: np.ndarray, text: np.ndarray, budget: int) -> tuple[int,
 
 
 def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, int, int]]:
-    """(start, end, probe, edits) of every verified region of the code points."""
+    """(start, end, probe, edits) of every verified region of the code points. A short probe
+    isn't verified inside a region that its item already has."""
+    n_codes = len(codes)
+    # windows at either end stay whole, so that edits may shift the first and last diagonals
+    codes = np.concatenate([np.full(PAD, np.uint32(ord(_SEP))), codes, np.full(PAD, np.uint32(ord(_SEP)))])
     h = q_hashes(codes)
     at = np.flatnonzero(index.slots[_slot(h)]) if len(h) and len(index.hashes) else np.zeros(0, np.int64)
     if not len(at):
@@ -152,10 +162,14 @@ def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, i
         for e in edge[count >= index.bounds[p[edge]]]:
             k = int(p[e])
             found.append((k, int(b[e]) * 2 * int(step_of(index, k)) - shift * int(step_of(index, k))))
-    out, seen = [], set()
+    out, seen, covered = [], set(), {}
     for k, low in sorted(found):
         probe_codes, budget = index.probes[k], int(index.budgets[k])
         size, wide = len(probe_codes), 2 * (budget + 1)
+        item = int(index.items[k])
+        inside = covered.get((item, (low + size // 2) // PROBE), ())
+        if any(s <= low and low + wide + size <= t for s, t in inside):
+            continue
         a, z = max(0, low - budget), min(len(codes), low + wide + size + budget)
         window = codes[a:z]
         exact = [s for s in range(max(0, low) - a, min(low + wide, len(codes) - size + 1) - a) if s >= 0 and window[s] == probe_codes[0] and np.array_equal(window[s:s + size], probe_codes)]
@@ -167,7 +181,10 @@ def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, i
         for s, t, edits in spans:
             if (k, s) not in seen:
                 seen.add((k, s))
-                out.append((s, t, k, edits))
+                out.append((max(0, s - PAD), min(n_codes, t - PAD), k, edits))
+                if size > SHORT:
+                    for place in range(s // PROBE, t // PROBE + 1):
+                        covered.setdefault((item, place), []).append((s, t))
     return out
 
 

@@ -137,6 +137,27 @@ def test_passages_within_the_budget_are_found(spark):
     assert decontamination.contaminated_passages(table(spark, docs), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [71, 75, 100, 130])
+def test_an_excerpt_from_anywhere_in_an_item_is_found(size):
+    rnd = random.Random(5)
+    item = "".join(rnd.choice("abcdefghij ") for _ in range(300)).replace("  ", "ab")
+    index = decontamination.build_index([(7, item)])
+    for a in range(len(item) - size + 1):
+        passage = item[a:a + size].strip()
+        text = "ZZ QQ " * 20 + passage + " QQ ZZ" * 20
+        got = decontamination._scan_group([1], [text], index)
+        assert len(passage) < 71 or [(d, i) for d, i, *_ in got] == [(1, 7)]
+
+
+def test_edits_at_either_end_of_a_group_are_found():
+    rnd = random.Random(6)
+    item = "".join(rnd.choice("abcdefghij") for _ in range(90))
+    index = decontamination.build_index([(7, item)])
+    for cut in ([3, 20, 50], [1, 2, 40], [60, 85, 88]):
+        text = "".join(c for i, c in enumerate(item) if i not in cut)
+        assert [(i, s <= 3, t >= len(text) - 3, e) for _, i, s, t, e in decontamination._scan_group([1], [text], index)] == [(7, True, True, 3)]
+
+
 # ---- 5
 
 def shingles(text):
