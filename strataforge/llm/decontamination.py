@@ -17,6 +17,7 @@ of a document and an item is one row for each separate passage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,30 +204,46 @@ def passages(regions: list[tuple[int, int, int, int]], index: ProbeIndex, gap: i
     return [tuple(x) for x in out]
 
 
+def _scan_texts(texts: list, index: ProbeIndex) -> list[tuple]:
+    """(row, item_id, start, end, edits) of each passage in the texts."""
+    rows: list[tuple] = []
+    group: list[int] = []
+    size = 0
+    for i in range(len(texts) + 1):
+        if i < len(texts):
+            if texts[i]:
+                group.append(i)
+                size += len(texts[i])
+            if size < GROUP_CHARS:
+                continue
+        if group:
+            rows += _scan_group(group, [texts[j] for j in group], index)
+        group, size = [], 0
+    return rows
+
+
 def _scan(docs: DataFrame, index: ProbeIndex) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.Table | None:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        rows: list[tuple] = []
-        group: list[int] = []
-        size = 0
-        for i in range(len(texts) + 1):
-            if i < len(texts):
-                if texts[i]:
-                    group.append(i)
-                    size += len(texts[i])
-                if size < GROUP_CHARS:
-                    continue
-            if group:
-                rows += _scan_group([ids[j] for j in group], [texts[j] for j in group], index)
-            group, size = [], 0
+        ids = batch.column(0).to_pylist()
+        rows = _scan_texts(batch.column(1).to_pylist(), index)
         if not rows:
             return None
-        d, item, s, t, edits = zip(*rows)
-        return pa.table({"doc_id": pa.array(d, pa.int64()), "item_id": pa.array(item, pa.int64()), "start": pa.array(s, pa.int32()), "end": pa.array(t, pa.int32()), "edits": pa.array(edits, pa.int32())})
+        at, item, s, t, edits = zip(*rows)
+        return pa.table({"doc_id": pa.array([ids[i] for i in at], pa.int64()), "item_id": pa.array(item, pa.int64()), "start": pa.array(s, pa.int32()), "end": pa.array(t, pa.int32()), "edits": pa.array(edits, pa.int32())})
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, item_id long, start int, end int, edits int")
 
 
+def _without_hits(docs: DataFrame, index: ProbeIndex) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit = {row for row, *_ in _scan_texts(batch.column(at).to_pylist(), index)}
+        return batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def _scan_group(ids: list, texts: list[str], index: ProbeIndex) -> list[tuple]:
     """Scans several texts at once, set apart by a code point that no text has."""
     codes, at = normalised(_SEP.join(t.replace(_SEP, " ") for t in texts))
@@ -248,24 +265,30 @@ def _scan_group(ids: list, texts: list[str], index: ProbeIndex) -> list[tuple]:
     return out
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end, edits of each benchmark passage in a document.
-
-    The probes go to the executors with the task. Their size is measured first; a benchmark
-    over MAX_BROADCAST_CHARS characters is split by item into as many passes as hold it.
-    """
+def _indexes(benchmark: DataFrame) -> Iterator[ProbeIndex]:
+    """The probes of the benchmark. Their size is measured first; a benchmark over
+    MAX_BROADCAST_CHARS characters is split by item into as many passes as hold it."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     passes = max(1, -(-chars // MAX_BROADCAST_CHARS))
-    out = None
     for k in range(passes):
         some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        part = _scan(docs, build_index([(r.item_id, r.text) for r in some.collect()]))
+        yield build_index([(r.item_id, r.text) for r in some.collect()])
+
+
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, end, edits of each benchmark passage in a document. The probes
+    go to the executors with the task."""
+    out = None
+    for index in _indexes(benchmark):
+        part = _scan(docs, index)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark passage; all columns are kept."""
-    hit = contaminated_passages(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold a benchmark passage, whatever their doc_id; all columns,
+    no shuffle: the rows are filtered where they are scanned."""
+    for index in _indexes(benchmark):
+        docs = _without_hits(docs, index)
+    return docs

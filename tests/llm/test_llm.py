@@ -158,6 +158,14 @@ def test_edits_at_either_end_of_a_group_are_found():
         assert [(i, s <= 3, t >= len(text) - 3, e) for _, i, s, t, e in decontamination._scan_group([1], [text], index)] == [(7, True, True, 3)]
 
 
+def test_rows_go_by_their_own_text(spark):
+    rnd = random.Random(8)
+    item = "".join(rnd.choice("abcdefghij") for _ in range(120))
+    docs = table(spark, [(1, "clean"), (1, item), (None, item), (None, "clean too"), (2, None)])
+    clean = decontamination.decontaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == [(1, "clean"), (2, None), (None, "clean too")]
+
+
 # ---- 5
 
 def shingles(text):
@@ -215,6 +223,14 @@ def test_one_of_each_component_stays(spark, none):
     assert jaccard.linked_documents(none).count() == 0
 
 
+def test_rows_that_share_an_id_stay_unless_near_duplicates(spark):
+    text, other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "uvw")
+    rows = [(5, text), (5, other), (5, other + " more"), (5, text), (9, text), (3, third), (5, third), (6, ""), (6, " "), (4, "alone")]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(table(spark, rows)).collect())
+    assert [k for k in kept if k[1] not in (other, other + " more")] == [(3, third), (4, "alone"), (5, text), (6, ""), (6, " ")]
+    assert len(kept) == 6
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (70, 60)], "a long, b long")
     assert {r.node: r.root for r in components.components(edges)[0].collect()} == {**{i: 0 for i in range(41)}, 60: 60, 70: 60}
