@@ -100,9 +100,11 @@ def hyperplanes(dim: int, sketches: int = 8, bits: int = 12, seed: int = 1) -> n
     return np.random.default_rng(seed).standard_normal((sketches, bits, dim))
 
 
-def lsh_buckets(df: DataFrame, key: str, vector: str, planes: np.ndarray) -> DataFrame:
-    """key, band, bucket: signs of the dot products with each sketch's planes."""
+def lsh_buckets(df: DataFrame, key: str, vector: str, planes: np.ndarray, weakest: int = 0) -> DataFrame:
+    """key, band, bucket: signs of the dot products with each sketch's planes; also the buckets
+    across each of the weakest planes, those that the vector lies closest to."""
     sketches, bits, dim = planes.shape
+    weakest = min(weakest, bits)
     weights = 1 << np.arange(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +112,24 @@ def lsh_buckets(df: DataFrame, key: str, vector: str, planes: np.ndarray) -> Dat
             if not batch.num_rows:
                 continue
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-            code = ((np.einsum("sbd,nd->nsb", planes, v) >= 0) * weights).sum(axis=2)
-            n = len(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), sketches))), pa.array(np.tile(np.arange(sketches, dtype=np.int32), n)), pa.array(code.ravel().astype(np.int64))], ["key", "band", "bucket"])
+            dots = np.einsum("sbd,nd->nsb", planes, v)
+            code = ((dots >= 0) * weights).sum(axis=2)[..., None]
+            distance = np.abs(dots) / np.linalg.norm(planes, axis=2)
+            code = np.concatenate([code, code ^ weights[np.argsort(distance, axis=2)[..., :weakest]]], axis=2)
+            n, each = len(v), 1 + weakest
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), sketches * each))), pa.array(np.tile(np.repeat(np.arange(sketches, dtype=np.int32), each), n)), pa.array(code.ravel().astype(np.int64))], ["key", "band", "bucket"])
 
     source = df.where(F.size(vector) == dim).select(key, vector)
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, band int, bucket long")
 
 
-def ann_search(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", planes: np.ndarray | None = None, dim: int | None = None) -> DataFrame:
-    """query_id, key, distance, rank of the k nearest candidates that share a bucket."""
+def ann_search(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", planes: np.ndarray | None = None, dim: int | None = None, weakest: int = 4) -> DataFrame:
+    """query_id, key, distance, rank of the k nearest candidates in the queries' buckets and
+    those across their weakest planes."""
     from pyspark.sql import Window
 
     planes = planes if planes is not None else hyperplanes(dim)
-    index, asked = lsh_buckets(df, key, vector, planes), lsh_buckets(queries, key, vector, planes).withColumnRenamed(key, "query_id")
+    index, asked = lsh_buckets(df, key, vector, planes), lsh_buckets(queries, key, vector, planes, weakest).withColumnRenamed(key, "query_id")
     pairs = asked.join(index, ["band", "bucket"]).select("query_id", key).distinct()
     full = pairs.join(df.select(key, vector), key).join(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_target")), "query_id")
     ranked = full.select("query_id", key, distances.operator(metric)(F.col(vector), F.col("_target")).alias("distance"))

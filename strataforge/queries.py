@@ -339,7 +339,7 @@ def _(s, d):
 def _(s, d):
     """Near copies among documents by min-hash bands over word sets, verified exactly."""
     docs = read(s, d, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words"))
-    bands = candidates.minhash_bands(docs, "doc_id", F.col("words"), 64, 8)
+    bands = candidates.minhash_bands(docs, "doc_id", F.col("words"), 64, 4)
     probes = bands.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     pairs = candidates.band_candidates(probes, bands, "query_id", "doc_id").where("query_id <> doc_id")
     full = pairs.join(docs, "doc_id").join(docs.select(F.col("doc_id").alias("query_id"), F.col("words").alias("w")), "query_id")

@@ -1,12 +1,16 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataforge.operators import aggregate, audience, bandit, candidates, changes, ranking, views
+from strataforge.queries import queries
 from strataforge.streaming import live
 
+QUERIES = queries()
+
 
 def test_the_privacy_gate_gives_all_or_nothing(spark):
     df = spark.createDataFrame([("c1", 5.0), ("c1", None), ("c2", 12.0)], "c string, v double")
@@ -96,6 +100,29 @@ def test_hyperplane_search_recalls_most(spark, sf_dir):
     assert near.where("query_id = vec_id").count() == e.where("vec_id % 50 = 0").count()
 
 
+@pytest.mark.parametrize("name, k", [("I9", 10), ("I11", 5)])
+def test_registered_vector_search_recalls_nine_in_ten(spark, name, k):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {(r.query_id, r.vec_id) for r in QUERIES[name](spark, sf).collect()}
+    want = set()
+    for q in {q for q, _ in got}:
+        order = np.argsort(1 - v @ v[ids == q][0], kind="stable")
+        want |= {(q, int(i)) for i in ids[order][:k]} - {(q, q)}
+    assert len(got & want) >= .9 * len(want)
+
+
+def test_near_copies_at_the_edge_are_found(spark, tmp_path):
+    rnd, rows = random.Random(1), []
+    for q in range(60):
+        words = [f"q{q}w{rnd.random()}" for _ in range(39)]
+        rows += [(q * 20, " ".join(words[:34])), (q * 20 + 1, " ".join(words[5:]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.query_id for r in QUERIES["C3"](spark, str(tmp_path)).collect()}) >= 54
+
+
 def test_deltas_equal_a_recount(spark):
     base = spark.createDataFrame([("us", 10.0), ("us", 7.0)], "region string, amount double")
     v = views.ViewDef("v", "b", "region", group_by=["region"], count="n", sums={"amount": "total"})
