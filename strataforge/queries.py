@@ -515,13 +515,22 @@ def _(s, d):
 
 @query("F1", "SELECT c_custkey, c_name FROM customer WHERE c_custkey < 20 AND c_custkey <> 3 UNION ALL SELECT 3, 'new name' UNION ALL SELECT 900000001, 'added'")
 def _(s, d):
-    db = _database(s, d, customer=read(s, d, "customer").where("c_custkey < 20").select("c_custkey", "c_name"))
+    return _conditional_inserts(s, d, read(s, d, "customer").where("c_custkey < 20").select("c_custkey", "c_name"))
+
+
+def _conditional_inserts(s, d, customer):
+    db = _database(s, d, customer=customer)
     db.sql("INSERT INTO customer (c_custkey, c_name) VALUES (3, 'new name') IF EXISTS")
     db.sql("INSERT INTO customer (c_custkey, c_name) VALUES (4, 'refused') IF NOT EXISTS")
     db.sql("INSERT INTO customer (c_custkey, c_name) VALUES (900000001, 'added') IF attribute_not_exists(c_custkey) RETURNING NEW")
     return db.table("customer").data
 
 
+@query("F1_all", "SELECT c_custkey, CASE WHEN c_custkey = 3 THEN 'new name' ELSE c_name END AS c_name FROM customer UNION ALL SELECT 900000001, 'added'")
+def _(s, d):
+    return _conditional_inserts(s, d, read(s, d, "customer").select("c_custkey", "c_name"))
+
+
 @query("F2", "SELECT r_regionkey + 100 AS r_regionkey, r_name FROM region")
 def _(s, d):
     r = read(s, d, "region")
@@ -1108,8 +1117,8 @@ def _(s, d):
     return out.select("index", F.map_contains_key("delta", "event_type").alias("type_changed"))
 
 
-def _streamed(s, d):
-    db = _database(s, d, nation=read(s, d, "nation").where("n_nationkey < 3").select("n_nationkey", "n_name", (F.col("n_nationkey") * 100).alias("expires")))
+def _streamed(s, d, rows="true"):
+    db = _database(s, d, nation=read(s, d, "nation").where(rows).select("n_nationkey", "n_name", (F.col("n_nationkey") * 100).alias("expires")))
     db.update_stream("nation", True, "NEW_IMAGE", 3600)
     db.sql("INSERT INTO nation (n_nationkey, n_name, expires) VALUES (77, 'new', 5)")
     db.sql("UPDATE nation SET n_name = 'changed' WHERE n_nationkey = 1")
@@ -1136,7 +1145,7 @@ def _(s, d):
 
 @query("N10", "SELECT 0::INTEGER AS n_nationkey UNION ALL SELECT 2")
 def _(s, d):
-    db = _streamed(s, d)
+    db = _streamed(s, d, "n_nationkey < 3")
     db.update_ttl("nation", "expires")
     db.reap("nation", 150)
     return db.table("nation").data.select(F.col("n_nationkey").cast("int").alias("n_nationkey"))
