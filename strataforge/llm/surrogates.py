@@ -320,7 +320,7 @@ def with_surrogates(docs: DataFrame, secret: str = "strataforge") -> DataFrame:
     """docs with the text's entities replaced, and n_entities; all columns are kept."""
     spark = docs.sparkSession
     # documents with mentions are few; they are written once with what was found in them
-    found, _ = stored(_mentions(docs), "pii-mentions")
+    found, _ = stored(_mentions(docs).withColumn("_row", F.expr("uuid()")), "pii-mentions")
     retried, path = attempts(found, secret)
     few = retried.limit(LITERAL_ATTEMPTS + 1).collect()
     plain = lambda e: F.concat(_group(e["kind"]), F.lit("|"), e["value"])
@@ -329,10 +329,10 @@ def with_surrogates(docs: DataFrame, secret: str = "strataforge") -> DataFrame:
         tries = F.create_map(*pairs) if pairs else None
         discard(spark, path)
     else:
-        # by document: only those with such an entity get a map
-        keyed = _all_entities(found, "doc_id").select("doc_id", _group(F.col("e.kind")).alias("grp"), F.col("e.value").alias("value")).distinct()
-        maps = keyed.join(retried, ["grp", "value"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "grp", "value"), "attempt"))).alias("_tries"))
-        found = found.join(maps, "doc_id", "left")
+        # by row, as ids may be null or shared: only rows with such an entity get a map
+        keyed = _all_entities(found, "_row").select("_row", _group(F.col("e.kind")).alias("grp"), F.col("e.value").alias("value")).distinct()
+        maps = keyed.join(retried, ["grp", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "grp", "value"), "attempt"))).alias("_tries"))
+        found = found.join(maps, "_row", "left")
         tries = F.col("_tries")
 
     def replaced(mention: Column) -> Column:

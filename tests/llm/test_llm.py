@@ -340,6 +340,13 @@ def test_distinct_entities_stay_distinct(spark, monkeypatch):
         assert not set(ips) & {f"{a}.0.0.{i}" for a in (10, 127) for i in range(1, 120)}
 
 
+def test_rows_without_an_id_get_the_same_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "LITERAL_ATTEMPTS", 0)
+    text = " ".join(f"192.168.{i}.{j}" for i in range(1, 9) for j in range(1, 250))
+    got = {r.text for r in surrogates.with_surrogates(table(spark, [(1, text), (None, text)]), "k").collect()}
+    assert len(got) == 1
+
+
 # ---- 10
 
 def test_segmentations_are_lossless_reproducible_and_unbiased(spark, odd, none):
