@@ -12,16 +12,29 @@ are replaced too.
 
 Collision check: over the distinct entities of the whole table, a surrogate that equals an
 entity of the same group, or another entity's surrogate, is drawn anew with the next attempt
-number until all are distinct. Attempts other than 0 are rare; they reach the documents
-as a literal map while few, else through a join by document.
+number until all are distinct. Forms with few values widen after some attempts: e-mail
+addresses and names grow longer, addresses of 192.168 and 169.254 move into 10. Attempts
+other than 0 are rare; they join the mentions by group and value under a row key of the
+operator's own, so null and repeated ids don't matter.
+
+The key. Surrogates are drawn from HMAC-SHA-256 under a secret, that of the argument or of
+the session's spark.strataforge.pii.secret (a name that Spark itself redacts); without
+either, each call draws a fresh random one, so its surrogates can't be told by anybody nor
+be repeated. The key reaches the expressions as a scalar subquery over a local row, so plans
+show neither it nor anything derived from it.
 
 Defined results: null text stays null; texts without entities stay as they are; a key that
-differs gives other surrogates; empty tables stay empty.
+differs gives other surrogates; empty tables stay empty; columns of any name are kept, and
+the count of entities takes the name n_entities, with underscores behind it if that is taken.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import secrets
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -62,9 +75,10 @@ HINT = "|".join(_HINTS)
 # The letters that made-up names are put together from.
 LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}
 ENDINGS = {"latin": {"f": "a", "m": "n"}, "cyrillic": {"f": "а", "m": "н"}, "greek": {"f": "α", "m": "ς"}}
-LITERAL_ATTEMPTS = 5_000
-MAX_ATTEMPTS = 16
+MAX_ATTEMPTS = 40
 LONGER_FROM = 4               # attempts from here on make e-mail and person surrogates longer
+WIDER_FROM = 8                # and draw addresses with two fixed parts from 10.0.0.0/8
+SECRET_SETTING = "spark.strataforge.pii.secret"
 
 
 def _digits(s: Column) -> Column:
@@ -103,10 +117,38 @@ def _let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _hash(secret: str, group: Column, value: Column, attempt: Column) -> Column:
+class Key(NamedTuple):
+    """The secret's two HMAC pads, as binary columns."""
+
+    inner: Column
+    outer: Column
+
+
+def session_secret(spark: SparkSession) -> str | None:
+    return spark.conf.get(SECRET_SETTING, None)
+
+
+def _pads(spark: SparkSession, secret: str | None) -> DataFrame:
+    """One local row: the HMAC pads of the secret, of a fresh one if it is None."""
+    raw = secrets.token_bytes(32) if secret is None else secret.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    row = tuple(bytearray(x ^ pad for x in raw) for pad in (0x36, 0x5C))
+    return spark.createDataFrame([row], "inner binary, outer binary")
+
+
+def _keyed(df: DataFrame, pads: DataFrame) -> DataFrame:
+    """df with the key's columns, _inner and _outer."""
+    return df.withColumn("_inner", pads.select("inner").scalar()).withColumn("_outer", pads.select("outer").scalar())
+
+
+def _hash(key: Key, group: Column, value: Column, attempt: Column) -> Column:
     """128 hexadecimal digits that only the key's holder can tell."""
-    base = F.concat_ws("|", F.lit(secret), group, value, attempt.cast("string"))
-    return F.concat(*(F.sha2(F.concat(F.lit(f"{i}|"), base), 256) for i in range(2)))
+
+    def mac(i: int) -> Column:
+        message = F.concat(F.lit(f"{i}|"), F.concat_ws("|", group, value, attempt.cast("string"))).cast("binary")
+        return F.sha2(F.concat(key.outer, F.unhex(F.sha2(F.concat(key.inner, message), 256))), 256)
+
+    return F.concat(mac(0), mac(1))
 
 
 class _Draw:
@@ -158,12 +200,12 @@ def _mod_97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0), add)
 
 
-def _email(value: Column, attempt: Column, secret: str, draw: _Draw) -> Column:
+def _email(value: Column, attempt: Column, key: Key, draw: _Draw) -> Column:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     reserved = domain.rlike(r"(?:^|\.)example\.(?:com|net|org)$")
     body, top = F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 1), F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 2)
     longer = F.when(attempt >= LONGER_FROM, F.substring(draw.hash, 100, 8)).otherwise("")
-    return F.concat(_like(local, draw), longer, F.lit("@"), F.when(reserved, domain).otherwise(F.concat(_let(_hash(secret, F.lit("host"), domain, F.lit(0)), lambda h: _like(body, _Draw(h))), top)))
+    return F.concat(_like(local, draw), longer, F.lit("@"), F.when(reserved, domain).otherwise(F.concat(_let(_hash(key, F.lit("host"), domain, F.lit(0)), lambda h: _like(body, _Draw(h))), top)))
 
 
 def _card(value: Column, draw: _Draw) -> Column:
@@ -173,7 +215,8 @@ def _card(value: Column, draw: _Draw) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)) + off, F.lit(10)).cast("string")))
 
 
-def _ip(value: Column, draw: _Draw) -> Column:
+def _ip(value: Column, attempt: Column, draw: _Draw) -> Column:
+    value = F.when((attempt >= WIDER_FROM) & value.rlike(r"^(?:192\.168|169\.254)\."), "10.0.0.0").otherwise(value)
     kept = F.when(value.rlike(r"^(?:10|127)\."), 1).when(value.rlike(r"^(?:192\.168|169\.254)\."), 2).otherwise(0)
     parts = F.split(value, r"\.")
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i <= kept, F.element_at(parts, i)).otherwise((F.pmod(draw.at(i * 3), F.when(i == 1, 223).otherwise(254)) + 1).cast("string"))), ".")
@@ -197,17 +240,17 @@ def _name(value: Column, kind: Column, attempt: Column, draw: _Draw) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(value.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
+def surrogate(kind: Column, value: Column, attempt: Column, key: Key) -> Column:
     """The canonical surrogate of a canonical entity."""
-    return _let(_hash(secret, _group(kind), value, attempt), lambda h: _drawn(kind, value, attempt, secret, _Draw(h)))
+    return _let(_hash(key, _group(kind), value, attempt), lambda h: _drawn(kind, value, attempt, key, _Draw(h)))
 
 
-def _drawn(kind: Column, value: Column, attempt: Column, secret: str, draw: _Draw) -> Column:
+def _drawn(kind: Column, value: Column, attempt: Column, key: Key, draw: _Draw) -> Column:
     prefix = F.regexp_extract(value, r"^(1|7|[2-9]\d)", 1)
     return (
-        F.when(kind == "email", _email(value, attempt, secret, draw))
+        F.when(kind == "email", _email(value, attempt, key, draw))
         .when(kind == "card", _card(value, draw))
-        .when(kind == "ip", _ip(value, draw))
+        .when(kind == "ip", _ip(value, attempt, draw))
         .when(kind == "iban", _iban(value, draw))
         .when(kind == "aws", F.concat(F.substring(value, 1, 4), _each(F.substring(value, 5, 99), lambda c, i: _char(_BASE32, draw.at(i)))))
         .when(kind == "phone", F.when(F.length(value) > 10, F.concat(prefix, _like(F.substring(value, F.length(prefix) + 1, F.length(value)), draw))).otherwise(_like(value, draw)))
@@ -248,17 +291,19 @@ def _name_kinds(mentions: Column) -> Column:
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
-    """Documents with mentions: text, found (mentions), gaps (the text around them), names."""
-    text = F.col("text")
-    first = docs.where(text.rlike(HINT)).withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).where(F.size("_found") > 0)
-    named = first.withColumn("_names", _name_kinds(F.col("_found")))
+    """Of the documents that HINT doesn't rule out: row (all their columns), text, found
+    (mentions, maybe none), names, and gaps (the text around the mentions)."""
+    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    first = docs.where(F.col("text").rlike(HINT)).select(columns, F.col("text")).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    named = first.withColumn("names", _name_kinds(F.col("found")))
     # bare mentions of titled names join the pattern of their document
-    bare = F.array_distinct(F.transform(F.filter("_names", lambda n: F.length(n["mention"]) >= 3), lambda n: F.concat(F.lit(r"\Q"), n["mention"], F.lit(r"\E"))))
+    bare = F.array_distinct(F.transform(F.filter("names", lambda n: F.length(n["mention"]) >= 3), lambda n: F.concat(F.lit(r"\Q"), n["mention"], F.lit(r"\E"))))
     pattern = F.when(F.size(bare) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(bare, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN))
     return (
-        named.withColumn("_pattern", pattern)
-        .withColumn("_found", F.when(F.size("_names") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_found")))
-        .withColumn("_gaps", F.split("text", F.col("_pattern"), -1))
+        named.withColumn("pattern", pattern)
+        .withColumn("found", F.when(F.size("names") > 0, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+        .withColumn("gaps", F.when(F.size("found") > 0, F.split("text", F.col("pattern"), -1)))
+        .select("row", F.when(F.size("found") == 0, F.col("text")).alias("text"), "found", "names", "gaps")
     )
 
 
@@ -281,7 +326,8 @@ def _entities_of(mention: Column, names: Column) -> Column:
 
 def _all_entities(found: DataFrame, *keys: str) -> DataFrame:
     """keys, e: every entity of the found mentions."""
-    return found.select(*keys, F.explode(F.flatten(F.transform("_found", lambda m: _entities_of(m, F.col("_names"))))).alias("e"))
+    some = found.where(F.size("found") > 0)
+    return some.select(*keys, F.explode(F.flatten(F.transform("found", lambda m: _entities_of(m, F.col("names"))))).alias("e"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -289,14 +335,18 @@ def entities(docs: DataFrame) -> DataFrame:
     return _all_entities(_mentions(docs.select("text"))).select("e.kind", "e.value").distinct()
 
 
-def attempts(found: DataFrame, secret: str) -> tuple[DataFrame, str]:
+def attempts(found: DataFrame, pads: DataFrame) -> tuple[DataFrame, str]:
     """Of documents with their mentions: grp, value, attempt of the entities whose attempt
     isn't 0, and the table's path."""
     spark = found.sparkSession
+
+    def drawn(some: DataFrame) -> tuple[DataFrame, str]:
+        core = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), Key(F.col("_inner"), F.col("_outer")))
+        return stored(_keyed(some, pads).withColumn("core", core).select("grp", "value", "kind", "attempt", "core"), "pii-drawn")
+
     # the same value may appear as two kinds of a group (a secret that is also a bare hex string)
     known, known_path = stored(_all_entities(found).select("e.kind", "e.value").groupBy(_group(F.col("kind")).alias("grp"), "value").agg(F.min("kind").alias("kind")), "pii-entities")
-    drawn = known.withColumn("attempt", F.lit(0)).withColumn("core", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), secret))
-    now, path = stored(drawn, "pii-drawn")
+    now, path = drawn(known.withColumn("attempt", F.lit(0)))
     for _ in range(MAX_ATTEMPTS):
         taken = known.select("grp", F.col("value").alias("core"), F.lit(True).alias("is_entity"))
         first = now.groupBy("grp", "core").agg(F.count("*").alias("n"), F.min("value").alias("holder")).where("n > 1")
@@ -307,7 +357,7 @@ def attempts(found: DataFrame, secret: str) -> tuple[DataFrame, str]:
         if bad.where("bad").isEmpty():
             break
         again = bad.select("grp", "value", "kind", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
-        redrawn, new_path = stored(again.withColumn("core", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), secret)), "pii-drawn")
+        redrawn, new_path = drawn(again)
         discard(spark, path)
         now, path = redrawn, new_path
     else:
@@ -316,33 +366,41 @@ def attempts(found: DataFrame, secret: str) -> tuple[DataFrame, str]:
     return now.where("attempt > 0").select("grp", "value", "attempt"), path
 
 
-def with_surrogates(docs: DataFrame, secret: str = "strataforge") -> DataFrame:
-    """docs with the text's entities replaced, and n_entities; all columns are kept."""
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it while a column has it already."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def with_surrogates(docs: DataFrame, secret: str | None = None, count_as: str | None = "n_entities") -> DataFrame:
+    """docs with the text's entities replaced; all columns are kept. The number of replaced
+    mentions is added as count_as, unless that is None."""
     spark = docs.sparkSession
-    # documents with mentions are few; they are written once with what was found in them
-    found, _ = stored(_mentions(docs).withColumn("_row", F.expr("uuid()")), "pii-mentions")
-    retried, path = attempts(found, secret)
-    few = retried.limit(LITERAL_ATTEMPTS + 1).collect()
-    plain = lambda e: F.concat(_group(e["kind"]), F.lit("|"), e["value"])
-    if len(few) <= LITERAL_ATTEMPTS:
-        pairs = [x for r in few for x in (F.lit(f"{r.grp}|{r.value}"), F.lit(r.attempt))]
-        tries = F.create_map(*pairs) if pairs else None
+    pads = _pads(spark, secret if secret is not None else session_secret(spark))
+    # each text meets the pattern once; what was found is written with its document
+    found, _ = stored(_mentions(docs).withColumn("key", F.expr("uuid()")), "pii-mentions")
+    retried, path = attempts(found, pads)
+    if retried.isEmpty():
         discard(spark, path)
+        found = found.withColumn("tries", F.lit(None).cast("map<string,int>"))
     else:
-        # by row, as ids may be null or shared: only rows with such an entity get a map
-        keyed = _all_entities(found, "_row").select("_row", _group(F.col("e.kind")).alias("grp"), F.col("e.value").alias("value")).distinct()
-        maps = keyed.join(retried, ["grp", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "grp", "value"), "attempt"))).alias("_tries"))
-        found = found.join(maps, "_row", "left")
-        tries = F.col("_tries")
+        # only rows with a redrawn entity get a map
+        keyed = _all_entities(found, "key").select("key", _group(F.col("e.kind")).alias("grp"), F.col("e.value").alias("value")).distinct()
+        maps = keyed.join(retried, ["grp", "value"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "grp", "value"), "attempt"))).alias("tries"))
+        found = found.join(maps, "key", "left")
+    key = Key(F.col("_inner"), F.col("_outer"))
 
     def replaced(mention: Column) -> Column:
         def one(e: Column) -> Column:
-            attempt = F.lit(0) if tries is None else F.coalesce(F.try_element_at(tries, plain(e)), F.lit(0))
-            return F.concat(e["lead"], written(e["kind"], e["mention"], surrogate(e["kind"], e["value"], attempt, secret)))
+            attempt = F.coalesce(F.try_element_at(F.col("tries"), F.concat(_group(e["kind"]), F.lit("|"), e["value"])), F.lit(0))
+            return F.concat(e["lead"], written(e["kind"], e["mention"], surrogate(e["kind"], e["value"], attempt, key)))
 
-        return F.array_join(F.transform(_entities_of(mention, F.col("_names")), one), "")
+        return F.array_join(F.transform(_entities_of(mention, F.col("names")), one), "")
 
-    pieces = F.zip_with("_gaps", F.concat(F.transform("_found", replaced), F.array(F.lit(""))), lambda g, s: F.concat(g, s))
-    changed = found.withColumn("text", F.array_join(pieces, "")).withColumn("n_entities", F.size("_found")).select(*docs.columns, "n_entities")
-    hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False)) & F.coalesce(F.size(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))) > 0, F.lit(False))
-    return changed.unionByName(docs.where(~hit).withColumn("n_entities", F.lit(0)))
+    pieces = F.zip_with("gaps", F.concat(F.transform("found", replaced), F.array(F.lit(""))), lambda g, s: F.concat(g, s))
+    text = F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
+    count = [] if count_as is None else [free_name(count_as, docs.columns)]
+    changed = _keyed(found, pads).select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns), *(F.size("found").alias(c) for c in count))
+    rest = docs.where(~F.coalesce(F.col("text").rlike(HINT), F.lit(False))).select(*(F.col(f"`{c}`") for c in docs.columns), *(F.lit(0).alias(c) for c in count))
+    return changed.unionByName(rest)

@@ -308,7 +308,7 @@ def test_surrogates_keep_type_and_coreference(spark, odd, none):
     assert all("CYRILLIC" in unicodedata.name(c) for c in names[5]) and got[4] == rows[3][1]
     assert {r.doc_id: r.text for r in surrogates.with_surrogates(docs, "k").collect()} == got
     assert {r.doc_id: r.text for r in surrogates.with_surrogates(docs, "other").collect()}[1] != got[1]
-    same = {r.doc_id: r.text for r in surrogates.with_surrogates(odd).collect()}
+    same = {r.doc_id: r.text for r in surrogates.with_surrogates(odd, "k").collect()}
     assert same == dict(ODD) and surrogates.with_surrogates(none).count() == 0
 
 
@@ -329,24 +329,58 @@ def test_each_kind_is_found_alone(spark):
     assert [t for i, t in rows if got[i].n_entities != 1 or got[i].text == t] == []
 
 
-def test_distinct_entities_stay_distinct(spark, monkeypatch):
-    rows = [(i, f"call 10.0.0.{i} or a{i}@b.example.com or 127.0.0.{i}") for i in range(1, 120)]
-    docs = table(spark, rows)
-    for most in (5_000, 0):  # attempts as a literal map, then through a join
-        monkeypatch.setattr(surrogates, "LITERAL_ATTEMPTS", most)
-        text = " ".join(r.text for r in surrogates.with_surrogates(docs, "k").collect())
-        ips, mails = re.findall(r"\d+\.\d+\.\d+\.\d+", text), re.findall(r"\S+@\S+", text)
-        assert len(set(ips)) == 238 and len(set(mails)) == 119
-        assert not set(ips) & {f"{a}.0.0.{i}" for a in (10, 127) for i in range(1, 120)}
+def test_distinct_entities_stay_distinct(spark):
+    """Dense ranges, null and repeated ids: no two entities meet, none equals another's, mentions agree."""
+    some = [f"169.254.{a}.{b}" for a in range(1, 13) for b in range(1, 251)]
+    rows = [(i % 7 if i % 2 else None, f"from {ip} and {ip}") for i, ip in enumerate(some)]
+    rows += [(i, f"call 10.0.0.{i} or a{i}@b.example.com or 127.0.0.{i}, {some[i]}") for i in range(1, 120)]
+    out = [r.text for r in surrogates.with_surrogates(table(spark, rows), "k").collect()]
+    ips, mails = [re.findall(r"\d+\.\d+\.\d+\.\d+", t) for t in out], re.findall(r"\S+@\S+", " ".join(out))
+    found = {x for row in ips for x in row}
+    assert len(found) == 3000 + 238 and len(set(mails)) == 119
+    assert not found & ({*some} | {f"{a}.0.0.{i}" for a in (10, 127) for i in range(1, 120)})
+    assert all(row[0] == row[1] for row, t in zip(ips, out) if t.startswith("from"))
 
 
-def test_rows_without_an_id_get_the_same_surrogates(spark, monkeypatch):
-    monkeypatch.setattr(surrogates, "LITERAL_ATTEMPTS", 0)
+def test_rows_without_an_id_and_repeated_rows_get_the_same_surrogates(spark):
     text = " ".join(f"192.168.{i}.{j}" for i in range(1, 9) for j in range(1, 250))
-    got = {r.text for r in surrogates.with_surrogates(table(spark, [(1, text), (None, text)]), "k").collect()}
+    got = {r.text for r in surrogates.with_surrogates(table(spark, [(1, text), (None, text), (1, text)]), "k").collect()}
     assert len(got) == 1
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["n_entities", "_found", "_names", "found", "names", "gaps", "key", "row", "tries", "a.b"]
+    docs = spark.createDataFrame([(1, "a@b.cd x", *range(10)), (2, None, *range(10)), (3, "plain 123", *range(10))], ["doc_id", "text", *names])
+    out = surrogates.with_surrogates(docs, "k")
+    assert out.columns == [*docs.columns, "n_entities_"]
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [(*range(10), 0), (*range(10), 0), (*range(10), 1)]
+    assert surrogates.with_surrogates(docs, "k", None).columns == docs.columns
+
+
+def test_surrogates_depend_on_a_key_that_plans_do_not_show(spark):
+    docs = table(spark, [(1, "mail a@b.cd or +1 386 555 3733")])
+    plan = surrogates.with_surrogates(docs, "s3cr3t-key")._jdf.queryExecution().toString()
+    pads = ["".join(f"{x:02x}" for x in bytes(c ^ p for c in b"s3cr3t-key")) for p in (0x36, 0x5C)]
+    assert not any(x in plan.lower() for x in ("s3cr3t", "733363723374", *pads))
+    a, b = (surrogates.with_surrogates(docs).first().text for _ in range(2))
+    assert a != b
+    spark.conf.set(surrogates.SECRET_SETTING, "x")
+    a, b = (surrogates.with_surrogates(docs).first().text for _ in range(2))
+    spark.conf.unset(surrogates.SECRET_SETTING)
+    assert a == b == surrogates.with_surrogates(docs, "x").first().text
+
+
+def test_hashes_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    pads = surrogates._pads(spark, "k" * 70)
+    key = surrogates.Key(F.col("_inner"), F.col("_outer"))
+    df = surrogates._keyed(spark.range(1), pads).select(surrogates._hash(key, F.lit("g"), F.lit("v"), F.lit(3)).alias("h"))
+    want = "".join(hmac.new(("k" * 70).encode(), f"{i}|g|v|3".encode(), hashlib.sha256).hexdigest() for i in range(2))
+    assert df.first().h == want
+
+
 # ---- 10
 
 def test_segmentations_are_lossless_reproducible_and_unbiased(spark, odd, none):
