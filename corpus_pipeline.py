@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates; n_chars follows the text."""
-    out = surrogates.with_surrogates(docs).drop("n_entities")
+    out = surrogates.with_surrogates(docs, count_as=None)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
