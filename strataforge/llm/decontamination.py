@@ -7,7 +7,10 @@ wherever in its item it lies. A text within e edits of a probe of L
 characters shares at least L + 1 - q - q * e of its q-grams with it, on diagonals at most e
 apart. So each document is scanned once: the q-grams it shares with the probes are counted
 in overlapping diagonal bands, bands that reach the bound become regions, and a banded
-alignment verifies each region. Text is compared lower-cased with white space runs as one
+alignment verifies each region. Where a phrase is common to many items, its q-grams have long
+lists of probes; a text that holds them is then worked through by stretches of the text and
+ranges of the probes that keep the lists in hand below POSTINGS, and many regions at a time
+are aligned together, so memory doesn't follow their product. Text is compared lower-cased with white space runs as one
 space; reported offsets are characters of the text as given.
 
 Defined results: null, empty and too short texts have no hit; items shorter than q
@@ -35,6 +38,9 @@ TABLE_BITS = 20
 GROUP_CHARS = 1_000_000
 MAX_BROADCAST_CHARS = 2_400_000   # a character lies in about seven probes
 PAD = 2 * PROBE                   # more than a window reaches beyond a text
+POSTINGS = 1_000_000              # shared q-grams that are in hand at once
+STRETCH = 2 * PROBE               # a region's q-grams lie within fewer positions
+TOGETHER = 256                    # regions from which on they are first aligned together
 _BASE = 0x9E3779B97F4A7C15
 _B, _B2, _B4 = (np.uint64(pow(_BASE, k, 1 << 64)) for k in (1, 2, 4))
 _SEP = "\U0010ffff"
@@ -106,6 +112,7 @@ def build_index(items: list[tuple[int, str]]) -> ProbeIndex:
     probe = np.repeat(np.arange(len(hs)), [len(x) for x in hs]) if hs else np.zeros(0, np.int64)
     at = np.concatenate([np.arange(len(x)) for x in hs]) if hs else np.zeros(0, np.int64)
     order = np.lexsort((at, probe, h))
+    probe, at = probe.astype(np.int32), at.astype(np.int16)
     hashes, first = np.unique(h[order], return_index=True)
     slots = np.zeros(1 << TABLE_BITS, dtype=bool)
     slots[_slot(hashes)] = True
@@ -131,22 +138,40 @@ def banded_edits(probe: np.ndarray, text: np.ndarray, budget: int) -> tuple[int,
     return int(row[best]), min(len(probe) + best, len(text))
 
 
-def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, int, int]]:
-    """(start, end, probe, edits) of every verified region of the code points. A short probe
-    isn't verified inside a region that its item already has."""
-    n_codes = len(codes)
-    # windows at either end stay whole, so that edits may shift the first and last diagonals
-    codes = np.concatenate([np.full(PAD, np.uint32(ord(_SEP))), codes, np.full(PAD, np.uint32(ord(_SEP)))])
-    h = q_hashes(codes)
-    at = np.flatnonzero(index.slots[_slot(h)]) if len(h) and len(index.hashes) else np.zeros(0, np.int64)
-    if not len(at):
-        return []
-    where = np.searchsorted(index.hashes, h[at])
-    good = (where < len(index.hashes)) & (index.hashes[np.minimum(where, len(index.hashes) - 1)] == h[at])
-    at, where = at[good], where[good]
+def _shared(index: ProbeIndex, at: np.ndarray, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(probe, offset in it, position) of the shared q-grams, in portions of bounded size. All
+    that belong to one region are in one portion; it may be in two.
+
+    at: ascending positions, where: their places among the index's hashes."""
     n = index.first[where + 1] - index.first[where]
-    posting = np.repeat(index.first[where] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else where, n) + np.arange(n.sum())
-    probe, offset, pos = index.post_probe[posting], index.post_at[posting], np.repeat(at, n)
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(at):
+        # from a on, as many positions as fit, but a stretch at least
+        b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, side="right")), int(np.searchsorted(at, at[a] + STRETCH)))
+        start = int(np.searchsorted(at, at[a] - STRETCH)) if a else 0
+        some, place, size = where[start:b], at[start:b], n[start:b]
+        low = index.first[some]
+        ranges = -(-int(size.sum()) // (4 * POSTINGS))
+        if ranges == 1:
+            yield _expanded(index, low, size, place)
+        else:
+            # a hash's list is ordered by probe, so a range of probes is a part of it
+            lists, which = np.unique(some, return_inverse=True)
+            cuts = np.linspace(0, len(index.items), ranges + 1).astype(np.int64)
+            split = np.array([index.first[x] + np.searchsorted(index.post_probe[index.first[x]:index.first[x + 1]], cuts) for x in lists])
+            for i in range(ranges):
+                yield _expanded(index, split[which, i], (split[:, i + 1] - split[:, i])[which], place)
+        a = b
+
+
+def _expanded(index: ProbeIndex, low: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    posting = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return index.post_probe[posting], index.post_at[posting], np.repeat(at, n)
+
+
+def _banded(index: ProbeIndex, probe: np.ndarray, offset: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """(probe, first diagonal) of each band that shares as many q-grams as the lemma asks for."""
     diagonal = pos - offset
     step = index.budgets[probe] + 1
     found = []
@@ -159,12 +184,63 @@ def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, i
         fresh[1:] = (p[1:] != p[:-1]) | (b[1:] != b[:-1]) | (o[1:] != o[:-1])
         p, b = p[fresh], b[fresh]
         edge = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (b[1:] != b[:-1])])) if len(p) else np.zeros(0, np.int64)
-        count = np.diff(np.append(edge, len(p)))
-        for e in edge[count >= index.bounds[p[edge]]]:
-            k = int(p[e])
-            found.append((k, int(b[e]) * 2 * int(step_of(index, k)) - shift * int(step_of(index, k))))
+        edge = edge[np.diff(np.append(edge, len(p))) >= index.bounds[p[edge]]]
+        step_of_edge = index.budgets[p[edge]] + 1
+        found.append(np.column_stack([p[edge], b[edge] * 2 * step_of_edge - shift * step_of_edge]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _aligned(codes: np.ndarray, index: ProbeIndex, found: np.ndarray) -> np.ndarray:
+    """Those of many (probe, first diagonal) whose probe has an alignment within its budget,
+    by banded_edits' recurrence over rows of candidates."""
+    keep = np.zeros(len(found), dtype=bool)
+    sizes, budgets = np.array([len(x) for x in index.probes])[found[:, 0]], index.budgets[found[:, 0]]
+    for size, budget in np.unique(np.column_stack([sizes, budgets]), axis=0).tolist():
+        chosen = np.flatnonzero((sizes == size) & (budgets == budget))
+        width = 2 * (budget + 1) + 2 * budget + 1
+        steps = np.arange(width, dtype=np.int16)
+        for some in np.array_split(chosen, -(-len(chosen) // 2048)):
+            at = (found[some, 1] - budget)[:, None] + np.arange(size + width)
+            text = np.where((at >= 0) & (at < len(codes)), codes[np.clip(at, 0, len(codes) - 1)], np.uint32(0x110000))
+            probes = np.stack([index.probes[k] for k in found[some, 0]])
+            row = np.zeros((len(some), width), np.int16)
+            for i in range(size):
+                new = row + (text[:, i:i + width] != probes[:, i:i + 1])
+                new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+                row = np.minimum.accumulate(new - steps, axis=1) + steps
+                if i % 8 == 7:
+                    alive = row.min(axis=1) <= budget
+                    if not alive.all():
+                        some, text, probes, row = some[alive], text[alive], probes[alive], row[alive]
+                    if not len(some):
+                        break
+            if len(some):
+                keep[some[row.min(axis=1) <= budget]] = True
+    return found[keep]
+
+
+def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, int, int]]:
+    """(start, end, probe, edits) of every verified region of the code points, but for those of
+    short probes inside a region that their item already has by a long one."""
+    n_codes = len(codes)
+    # windows at either end stay whole, so that edits may shift the first and last diagonals
+    codes = np.concatenate([np.full(PAD, np.uint32(ord(_SEP))), codes, np.full(PAD, np.uint32(ord(_SEP)))])
+    h = q_hashes(codes)
+    at = np.flatnonzero(index.slots[_slot(h)]) if len(h) and len(index.hashes) else np.zeros(0, np.int64)
+    if not len(at):
+        return []
+    where = np.searchsorted(index.hashes, h[at])
+    good = (where < len(index.hashes)) & (index.hashes[np.minimum(where, len(index.hashes) - 1)] == h[at])
+    at, where = at[good], where[good]
+    found = []
+    for portion in _shared(index, at, where):
+        some = _banded(index, *portion)
+        found.append(_aligned(codes, index, some) if len(some) > TOGETHER else some)
+    if not found:
+        return []
     out, seen, covered = [], set(), {}
-    for k, low in sorted(found):
+    # long probes come first
+    for k, low in np.unique(np.concatenate(found), axis=0).tolist():
         probe_codes, budget = index.probes[k], int(index.budgets[k])
         size, wide = len(probe_codes), 2 * (budget + 1)
         item = int(index.items[k])
@@ -189,10 +265,6 @@ def find_regions(codes: np.ndarray, index: ProbeIndex) -> list[tuple[int, int, i
     return out
 
 
-def step_of(index: ProbeIndex, probe: int) -> int:
-    return index.budgets[probe] + 1
-
-
 def passages(regions: list[tuple[int, int, int, int]], index: ProbeIndex, gap: int = STRIDE) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits): regions of an item that overlap or nearly meet, as one."""
     out: list[list[int]] = []

@@ -133,10 +133,65 @@ def test_passages_within_the_budget_are_found(spark):
             want = dict(items)[r.item_id].upper()
             assert edits(by[r.doc_id][r.start:r.end], want) <= .12 * len(want) + 4
     clean = decontamination.decontaminated(table(spark, docs), bench)
-    assert {r.doc_id for r in clean.collect()} >= {d for d, _ in docs if d is not None} - {d for d, _ in leaks} and clean.columns == table(spark, docs).columns
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs if d is not None} - {d for d, _ in leaks} and clean.columns == table(spark, docs).columns
     assert decontamination.contaminated_passages(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def fewest_edits(probe, text):
+    """Fewest edits between the probe and any stretch of the text, over all positions."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(probe, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+@pytest.mark.parametrize("postings", [decontamination.POSTINGS, 300])
+def test_hits_equal_a_search_of_all_positions(monkeypatch, postings):
+    """Whatever lies within a probe's budget anywhere is found, and nothing else is; also where
+    lists are worked through in portions and regions are aligned together."""
+    monkeypatch.setattr(decontamination, "POSTINGS", postings)
+    monkeypatch.setattr(decontamination, "TOGETHER", 256 if postings > 1000 else 0)
+    rnd = random.Random(12)
+    some = lambda n: "".join(rnd.choice("abcdef ") for _ in range(n)).replace("  ", "ab").strip()
+    common = some(24)
+    items = [(i, common + some(rnd.choice([20, 36, 70, 110]))) for i in range(8)]
+    index = decontamination.build_index(items)
+    hits = 0
+    for d in range(10):
+        passage = rnd.choice(items)[1]
+        for _ in range(rnd.randrange(0, 9)):
+            k = rnd.randrange(len(passage))
+            passage = passage[:k] + rnd.choice(["", "z", "zz"]) + passage[k + 1:]
+        text = some(rnd.randrange(0, 60)) + common * (d % 4) + passage + some(rnd.randrange(0, 60)) + common
+        codes = decontamination.normalised(text)[0].tolist()
+        want = {int(index.items[k]) for k, p in enumerate(index.probes) if fewest_edits(p.tolist(), codes) <= index.budgets[k]}
+        got = {item for _, item, *_ in decontamination._scan_group([d], [text], index)}
+        assert got == want
+        hits += len(want)
+    assert hits > 5
+
+
+def test_a_phrase_common_to_thousands_of_items_stays_in_bounds():
+    import tracemalloc
+
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(7))
+    phrase = "answer this question now"
+    index = decontamination.build_index([(i, phrase + " " + " ".join(word() for _ in range(8))) for i in range(4000)])
+    text = (phrase + " ") * 100 + index_text(index, 17)
+    tracemalloc.start()
+    got = decontamination._scan_group([1], [text], index)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i for _, i, *_ in got} == {17} and most < 600e6
+
+
+def index_text(index, item):
+    return "".join(map(chr, index.probes[int(np.flatnonzero(index.items == item)[0])]))
+
+
 @pytest.mark.parametrize("size", [71, 75, 100, 130])
 def test_an_excerpt_from_anywhere_in_an_item_is_found(size):
     rnd = random.Random(5)
