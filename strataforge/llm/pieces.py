@@ -8,14 +8,15 @@ one before it, and so on, which samples whole segmentations exactly by their wei
 draws come from a counter-based hash of the row's key, so a row's segmentation depends on
 nothing but its text, its key, the seed, alpha and the model.
 
-Pieces of this model hold a space mark only in front, so the lattice falls apart at spaces
-and line feeds: each distinct run between them is filtered once a batch and drawn from as
-often as it occurs. Pieces of several space marks are not used; a space mark character in
-the text itself is written in bytes. Decoding is lossless: it joins the pieces and drops the
-one space that stands before every text.
-
-Defined results: null text gives a null list, empty text an empty one; a null key counts as
-key 0; repeated rows get equal segmentations.
+Pieces of this model hold space marks only in front, or are space marks alone, so the
+lattice falls apart where spaces or a line feed begin: each distinct run, of spaces and what
+follows them, is filtered once a batch and drawn from as often as it occurs. Shares are
+counted in units of 2 ** -30, in whole numbers, so that a draw never depends on what else is
+in the batch. A space mark character in the text itself is written in bytes. Decoding is
+lossless: it joins the pieces and drops the one space that stands before every text.
+
+Defined results: null text gives a null list, empty text an empty one; a null key draws like
+the smallest 64-bit integer; repeated rows get equal segmentations.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import map_batches, trim
 
 MARK = "▁"
-RUN = re.compile(r" ?[^ \n]+|[ \n]")
+RUN = re.compile(r" *[^ \n]+| +|\n")
 GROUP_CHARS = 1_500_000
+LATTICE_CHARS = 150_000       # of the runs that are filtered at once
+UNIT_BITS = 30
+NULL_KEY = -(1 << 63)
 _B = np.array([0x9E3779B97F4A7C15], np.uint64)
 _SLOTS = 20
 
@@ -75,7 +79,7 @@ def vocabulary(model_path: str, alpha: float) -> Vocabulary:
             output[i] = bytes([int(piece[3:5], 16)])
         elif not (sp.is_control(i) or sp.is_unknown(i)):
             output[i] = piece.replace(MARK, " ").encode()
-            body = piece[1:] if piece.startswith(MARK) else piece
+            body = piece.strip(MARK) and piece.removeprefix(MARK)
             if MARK not in body and " " not in body and "\n" not in body:
                 found[_hash(np.array([ord(c) if c != MARK else 32 for c in piece]))] = (i, len(piece))
     if (byte_ids < 0).any():
@@ -104,9 +108,21 @@ class Lattice:
     first: np.ndarray       # node of each run's start
     last: np.ndarray        # and end
     start: np.ndarray       # node at which each edge starts
-    until: np.ndarray       # end node plus the cumulated share of the edges that end there
+    until: np.ndarray       # end node and the cumulated share of the edges there, in units
     piece: np.ndarray       # piece id, or -1 - code point for the bytes of a character
-    total: np.ndarray       # log of the summed weight of all paths to each node
+    nodes: int
+
+
+def lattices(runs: list[str], v: Vocabulary) -> Lattice:
+    """One lattice of all runs, filtered in portions so that memory stays small."""
+    parts, a, size, nodes = [], 0, 0, 0
+    for i, run in enumerate(runs):
+        size += len(run)
+        if size >= LATTICE_CHARS or i == len(runs) - 1:
+            g = lattice(runs[a:i + 1], v)
+            parts.append((g.first + nodes, g.last + nodes, g.start + np.int32(nodes), g.until + (nodes << UNIT_BITS), g.piece))
+            nodes, a, size = nodes + g.nodes, i + 1, 0
+    return Lattice(*map(np.concatenate, zip(*parts)), nodes)
 
 
 def lattice(runs: list[str], v: Vocabulary) -> Lattice:
@@ -161,14 +177,14 @@ def lattice(runs: list[str], v: Vocabulary) -> Lattice:
         total[end[e]] = np.logaddexp(total[end[e]], total[start[e]] + log[e])
     order = np.argsort(end, kind="stable")
     start, end, piece, log = start[order], end[order], piece[order], log[order]
-    share = np.exp(total[start] + log - total[end])
-    # the running share starts afresh at each node; its last value there is exactly 1
+    share = (np.exp(total[start] + log - total[end]) * (1 << UNIT_BITS)).astype(np.int64)
+    # the running share starts afresh at each node; its last value there is a whole
     run_sum = np.cumsum(share)
     new = np.concatenate([[True], end[1:] != end[:-1]])
     before = np.repeat((run_sum - share)[new], np.diff(np.append(np.flatnonzero(new), len(end))))
-    within = np.minimum(run_sum - before, 1.0)
-    within[np.append(new[1:], True)] = 1.0
-    return Lattice(first, first + sizes, start, end + within, piece, total)
+    within = np.minimum(run_sum - before, 1 << UNIT_BITS)
+    within[np.append(new[1:], True)] = 1 << UNIT_BITS
+    return Lattice(first, first + sizes, start, (end.astype(np.int64) << UNIT_BITS) + within, piece, len(total))
 
 
 def sample_ids(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> list[np.ndarray]:
@@ -182,7 +198,7 @@ def sample_ids(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) ->
     if not occurrence:
         return [np.zeros(0, np.int32) for _ in texts]
     # a space mark of the text itself must not meet the pieces' marks: it has code 0x2581 here, theirs 32
-    g = lattice(list(distinct), v)
+    g = lattices(list(distinct), v)
     which, counts = np.array(occurrence), np.array(counts)
     row = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -199,10 +215,9 @@ def sample_ids(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) ->
     done = np.zeros(len(which), np.int64)
     tails = []
     while len(live):
-        u = (_mix(stream[live] + np.array([step + 1], np.uint64) * _B) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        # edges ending at node n reach from n to n + 1 in `until`
-        e = np.searchsorted(g.until, at[live] + u, side="right")
-        e = np.minimum(e, len(g.until) - 1)
+        u = (_mix(stream[live] + np.array([step + 1], np.uint64) * _B) >> np.uint64(64 - UNIT_BITS)).astype(np.int64)
+        # edges ending at node n reach from n to n + 1 wholes in `until`
+        e = np.searchsorted(g.until, (at[live].astype(np.int64) << UNIT_BITS) + u, side="right")
         owner.append(live)
         edges.append(e)
         done[live] += width[e]
@@ -247,7 +262,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = 0.5,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path, alpha)
         for batch in batches:
-            keys, texts = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            keys, texts = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in _groups(texts):
                 ids = sample_ids([t or "" for t in texts[a:b]], keys[a:b], v, seed)
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
@@ -279,7 +294,7 @@ def round_trip(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = 0
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         v = vocabulary(model_path, alpha)
-        keys, texts = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        keys, texts = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         n, crc, chars, same = [], [], [], []
         for a, b in _groups(texts):
             for text, ids in zip(texts[a:b], sample_ids([t or "" for t in texts[a:b]], keys[a:b], v, seed)):

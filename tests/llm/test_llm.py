@@ -468,6 +468,26 @@ def test_segmentations_are_lossless_reproducible_and_unbiased(spark, odd, none):
         assert abs(drawn.count(ids) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_a_draw_does_not_depend_on_its_batch(monkeypatch):
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), .5)
+    rnd = random.Random(14)
+    texts = ["   ".join(rnd.choice(["plain", "wörter", "日本", "x" * 40, "a\n\nb"]) + str(rnd.randrange(10**6)) for _ in range(rnd.randrange(40))) for _ in range(60)]
+    keys = np.arange(60)
+    whole = [x.tolist() for x in pieces.sample_ids(texts, keys, v, 1)]
+    monkeypatch.setattr(pieces, "LATTICE_CHARS", 50)
+    order = rnd.sample(range(60), 60)
+    some = [x.tolist() for x in pieces.sample_ids([texts[i] for i in order], keys[order], v, 1)]
+    assert [whole[i] for i in order] == some
+    assert [pieces.decode(np.array(x), v) for x in whole] == texts
+
+
+def test_pieces_of_several_spaces_are_used():
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), .5)
+    used = {i for x in pieces.sample_ids(["a" + " " * 24 + "b  c"] * 2000, np.arange(2000), v, 1) for i in x.tolist()}
+    several = {i for i, out in enumerate(v.output) if out and len(out) > 1 and not out.strip(b" ")}
+    assert len(several) > 5 and len(used & several) > 5
+
+
 # ---- pipeline
 
 def test_the_pipeline_applies_every_stage(spark, sf_dir):
