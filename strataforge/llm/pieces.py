@@ -187,14 +187,23 @@ def lattice(runs: list[str], v: Vocabulary) -> Lattice:
     return Lattice(first, first + sizes, start, (end.astype(np.int64) << UNIT_BITS) + within, piece, len(total))
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def sample_ids(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> list[np.ndarray]:
     """One sampled segmentation of each text, as piece ids."""
-    distinct: dict[str, int] = {}
+    distinct = _Numbers()
+    number_of = distinct.__getitem__
     occurrence, counts = [], []
     for text in texts:
         runs = RUN.findall(" " + text) if text else []
         counts.append(len(runs))
-        occurrence += [distinct.setdefault(r, len(distinct)) for r in runs]
+        occurrence.extend(map(number_of, runs))
     if not occurrence:
         return [np.zeros(0, np.int32) for _ in texts]
     # a space mark of the text itself must not meet the pieces' marks: it has code 0x2581 here, theirs 32
@@ -204,7 +213,7 @@ def sample_ids(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) ->
     number = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
     stream = _mix(_mix(keys.astype(np.int64).view(np.uint64) + np.array([seed % (1 << 64)], np.uint64) * _B)[row] ^ (number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
     at, first = g.last[which], g.first[which]
-    live = np.arange(len(which))
+    live = np.argsort(which, kind="stable")  # in the lattice's order, so that searches stay near each other
     owner, edges, step = [], [], 0
     width = np.ones(len(g.piece), np.int64)
     odd = np.flatnonzero(g.piece < 0)
