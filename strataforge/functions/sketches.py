@@ -132,7 +132,8 @@ class FilterFull(RuntimeError):
 
 class Cuckoo:
     """Buckets of four fingerprints; a value lives in one of two buckets, so it can leave.
-    A driver-side sketch of fixed size: (4 * buckets) bytes."""
+    One filter has a fixed size; cuckoo_shards() builds as many as a table needs, each in a
+    task of its own."""
 
     SLOTS, KICKS = 4, 500
 
@@ -184,3 +185,43 @@ class Cuckoo:
                 self.table[place, at[0]] = 0
                 return True
         return False
+
+
+def _shard(column: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), F.col(column)), F.lit(shards)).cast("int").alias("shard")
+
+
+def cuckoo_shards(df: DataFrame, column: str, shards: int, buckets: int = 1 << 12, fingerprint_bits: int = 8, sign: str | None = None) -> DataFrame:
+    """shard, filter: a cuckoo filter of each shard of the distinct non-null values. With sign,
+    values of a negative sum of signs aren't members and those that were added and removed
+    alike have left; values that are removed more often than added never came."""
+    weight = F.lit(1) if sign is None else F.col(sign)
+    net = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value"), weight.alias("w"))
+    net = net.groupBy("value").agg(F.sum(F.when(F.col("w") > 0, F.col("w")).otherwise(0)).alias("added"), F.sum("w").alias("left"))
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        filt = Cuckoo(buckets, fingerprint_bits)
+        values, left = rows.column("value").to_pylist(), rows.column("left").to_pylist()
+        for v in sorted(values):
+            filt.add(v)
+        for v, n in zip(values, left):
+            if n <= 0:
+                filt.remove(v)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([filt.table.tobytes()], pa.binary())})
+
+    return net.where("added > 0").select(_shard("value", shards), "value", "left").groupBy("shard").applyInArrow(build, "shard int, filter binary")
+
+
+def cuckoo_members(filters: DataFrame, probes: DataFrame, column: str, shards: int, buckets: int = 1 << 12, fingerprint_bits: int = 8) -> DataFrame:
+    """Distinct probe values that may be members. Values meet their shard's filter only."""
+    asked = probes.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
+
+    def run(key: tuple, rows: pa.Table, held: pa.Table) -> pa.Table:
+        values = rows.column("value").to_pylist()
+        filt = Cuckoo(buckets, fingerprint_bits)
+        if held.num_rows:
+            filt.table = np.frombuffer(held.column("filter")[0].as_py(), np.uint32).reshape(buckets, Cuckoo.SLOTS)
+        return pa.table({"value": pa.array([v for v in values if held.num_rows and v in filt], pa.string())})
+
+    dealt = asked.select(_shard("value", shards), "value")
+    return dealt.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, "value string").withColumnRenamed("value", column)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 RADIUS = 6371008.8            # distance operator
 INDEX_RADIUS = 6371000.0      # spatial index queries
-METRES_A_DEGREE = 111_320.0
 MAX_COVER = 50_000
 
 
@@ -91,10 +90,31 @@ def cover(min_lat: float, min_lon: float, max_lat: float, max_lon: float, precis
     return sorted({geohash_of(-90 + (r + .5) * high, -180 + (c + .5) * wide, precision) for r in rows for c in columns})
 
 
-def box_around(lat: float, lon: float, metres: float) -> tuple[float, float, float, float]:
-    dy = metres / METRES_A_DEGREE
-    dx = metres / (METRES_A_DEGREE * max(1e-9, math.cos(math.radians(lat))))
-    return max(-90.0, lat - dy), max(-180.0, lon - dx), min(90.0, lat + dy), min(180.0, lon + dx)
+def boxes_around(lat: float, lon: float, metres: float) -> list[tuple[float, float, float, float]]:
+    """One box, or two across the date line, that together hold every point within metres of
+    the centre. A circle that holds a pole takes all longitudes; else its widest longitude
+    is asin(sin(r) / cos(lat)) away, which lies nearer to the pole than the centre."""
+    angle = metres / INDEX_RADIUS * (1 + 1e-9) + 1e-12
+    dy = math.degrees(angle)
+    south, north = lat - dy, lat + dy
+    if south <= -90 or north >= 90 or angle >= math.pi / 2:
+        return [(max(-90.0, south), -180.0, min(90.0, north), 180.0)]
+    dx = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat)))))
+    west, east = lon - dx, lon + dx
+    if dx >= 180:
+        return [(south, -180.0, north, 180.0)]
+    if west < -180:
+        return [(south, -180.0, north, east), (south, west + 360, north, 180.0)]
+    if east > 180:
+        return [(south, west, north, 180.0), (south, -180.0, north, east - 360)]
+    return [(south, west, north, east)]
+
+
+def in_boxes(lat: Column, lon: Column, boxes: list[tuple[float, float, float, float]]) -> Column:
+    out = in_box(lat, lon, *boxes[0])
+    for box in boxes[1:]:
+        out = out | in_box(lat, lon, *box)
+    return out
 
 
 def in_box(lat: Column, lon: Column, min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> Column:
@@ -112,8 +132,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 
 def within(lat: Column, lon: Column, centre_lat: float, centre_lon: float, metres: float) -> Column:
-    """At most metres from the centre. The box goes first, as it can be pushed to the scan."""
-    near = in_box(lat, lon, *box_around(centre_lat, centre_lon, metres))
+    """At most metres from the centre. The boxes go first, as they can be pushed to the scan."""
+    near = in_boxes(lat, lon, boxes_around(centre_lat, centre_lon, metres))
     far = haversine(lat, lon, F.lit(centre_lat), F.lit(centre_lon), INDEX_RADIUS)
     return near & F.coalesce(far <= metres, F.lit(False))
 

@@ -32,9 +32,11 @@ def aggregate(df: DataFrame, group_by: list[str], metrics: list[str], min_group_
 
 
 def gated(groups: DataFrame, min_group_size: int) -> DataFrame:
-    """Raises in place of any row if a group has fewer members."""
-    smallest = groups.agg(F.min("members").alias("_least"))
-    # one row; Spark broadcasts it by its size
+    """Raises in place of any row if a group has fewer members. The least is taken over whole
+    rows, so that both sides read the same columns and Spark reuses the one exchange of the
+    groups: they are scanned and aggregated once."""
+    smallest = groups.agg(F.min(F.struct("members", *(c for c in groups.columns if c != "members")))["members"].alias("_least"))
+    # one row
     ok = F.when(F.col("_least") < min_group_size, F.raise_error(F.lit(f"a group has fewer than {min_group_size} members"))).otherwise(F.lit(True))
     return groups.join(F.broadcast(smallest.select(ok.cast("boolean").alias("_ok"))), F.col("_ok")).drop("_ok")
 

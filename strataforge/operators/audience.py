@@ -73,6 +73,17 @@ def dedup(hits: DataFrame, keys: list[str], order: list[str], seconds: str, ttl:
     return decide(hits, keys, order, seconds, Rules(ttl=ttl))
 
 
+REQUEST_SECONDS = 60.0
+
+
+def fresh_requests(requests: DataFrame, request_id: str, order: list[str], seconds: str, life: float = REQUEST_SECONDS) -> DataFrame:
+    """Requests to carry out: those whose id wasn't carried out less than life seconds before.
+    A null id is never a repetition."""
+    named = requests.where(F.col(request_id).isNotNull())
+    fresh = dedup(named, [request_id], order, seconds, life).where("allowed").select(*requests.columns)
+    return fresh.unionByName(requests.where(F.col(request_id).isNull()))
+
+
 def freq_cap(hits: DataFrame, keys: list[str], order: list[str], seconds: str, limit: int, window: float) -> DataFrame:
     """A hit is allowed if fewer than limit were allowed in the window before it."""
     return decide(hits, keys, order, seconds, Rules(limit=limit, window=window))

@@ -80,27 +80,75 @@ def _local(arms: DataFrame) -> pd.DataFrame:
     return rows
 
 
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+class _Numbers:
+    """Random numbers by counter: those of a (request, arm) depend on its stream and on how
+    many were drawn before, not on what else is in the batch."""
+
+    def __init__(self, streams: np.ndarray):
+        self.streams, self.drawn = streams, 0
+
+    def uniform(self) -> np.ndarray:
+        """Within 0 and 1, both excluded."""
+        self.drawn += 1
+        x = self.streams + np.uint64(self.drawn) * _ODD[0]
+        x = (x ^ (x >> np.uint64(30))) * _ODD[1]
+        x = (x ^ (x >> np.uint64(27))) * _ODD[2]
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / (1 << 52) + 1 / (1 << 53)
+
+    def normal(self) -> np.ndarray:
+        return np.sqrt(-2 * np.log(self.uniform())) * np.cos(2 * np.pi * self.uniform())
+
+    def gamma(self, shape: np.ndarray) -> np.ndarray:
+        """By Marsaglia and Tsang's rejection; shapes under 1 are drawn one higher and scaled."""
+        d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+        c = 1 / np.sqrt(9 * d)
+        out, open_ = np.zeros(self.streams.shape), np.ones(self.streams.shape, dtype=bool)
+        while open_.any():
+            z, u = self.normal(), self.uniform()
+            v = (1 + c * z) ** 3
+            with np.errstate(invalid="ignore", divide="ignore"):
+                ok = open_ & (v > 0) & (np.log(u) < z * z / 2 + d - d * v + d * np.log(v))
+            out[ok] = (d * v)[ok]
+            open_ &= ~ok
+        return np.where(shape < 1, out * self.uniform() ** (1 / shape), out)
+
+
+def _drawn(table: pd.DataFrame, keys: np.ndarray, policy: str, family: str, seed: int, epsilon: float, sigma: float) -> np.ndarray:
+    """The place of the chosen arm of each request."""
+    arm = np.arange(len(table), dtype=np.uint64) * _ODD[2]
+    base = (keys.view(np.uint64) ^ np.array([seed % (1 << 64)], np.uint64) * _ODD[1]) * _ODD[0]
+    numbers = _Numbers(base[:, None] ^ arm[None, :])
+    alpha, beta, pulls = (table[c].to_numpy(float)[None, :] for c in ("alpha", "beta", "pulls"))
+    shape = numbers.streams.shape
+    if policy == "thompson" and family == "beta":
+        x, y = numbers.gamma(np.broadcast_to(alpha, shape)), numbers.gamma(np.broadcast_to(beta, shape))
+        draw = x / (x + y)
+    elif policy == "thompson":
+        draw = table.mu.to_numpy(float)[None, :] + sigma / np.sqrt(pulls + 1) * numbers.normal()
+    else:
+        mean = np.where(pulls > 0, table.rewards.to_numpy(float)[None, :] / np.maximum(pulls, 1), alpha / (alpha + beta))
+        explore = _Numbers(base).uniform() < epsilon
+        draw = np.where(explore[:, None], numbers.uniform(), mean)
+    return draw.argmax(axis=1)
+
+
 def sample(arms: DataFrame, requests: DataFrame, key: str, policy: str = "thompson", seed: int = 0, epsilon: float = 0.1, family: str = "beta", sigma: float = 1.0) -> DataFrame:
     """key, arm: one draw for each request row, reproducible by its key and the seed. The arms'
-    posteriors go to the tasks; draws are vectorised by batch."""
+    posteriors go to the tasks; draws are vectorised over blocks of requests and arms."""
+    if policy not in ("thompson", "epsilon"):
+        raise ValueError(f"unknown policy {policy!r}")
     table = _local(arms)
     names = table.arm.to_numpy()
+    block = max(1, 200_000 // max(1, len(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picks = []
-            for k in batch.column(1).to_pylist():
-                rng = np.random.default_rng([seed & 0xFFFFFFFF, k & 0xFFFFFFFFFFFFFFFF])
-                if policy == "thompson" and family == "beta":
-                    draw = rng.beta(table.alpha, table.beta)
-                elif policy == "thompson":
-                    draw = rng.normal(table.mu, sigma / np.sqrt(table.pulls + 1))
-                elif policy == "epsilon":
-                    mean = np.where(table.pulls > 0, table.rewards / np.maximum(table.pulls, 1), table.alpha / (table.alpha + table.beta))
-                    draw = rng.random(len(table)) if rng.random() < epsilon else mean
-                else:
-                    raise ValueError(f"unknown policy {policy!r}")
-                picks.append(names[int(np.argmax(draw))] if len(names) else None)
+            keys, picks = batch.column(1).to_numpy(), []
+            for a in range(0, len(keys), block):
+                picks += names[_drawn(table, keys[a:a + block], policy, family, seed, epsilon, sigma)].tolist() if len(names) else [None] * len(keys[a:a + block])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picks, pa.string())], ["key", "arm"])
 
     kind = requests.schema[key].dataType.simpleString()

@@ -155,7 +155,7 @@ def geo_audience(df: DataFrame, lat: str, lon: str, centre: tuple[float, float],
     if metres <= 0:
         raise ValueError("radius must be positive")
     here = F.lit(centre[0]), F.lit(centre[1])
-    near = spatial.in_box(F.col(lat), F.col(lon), *spatial.box_around(*centre, metres * 1.01))
+    near = spatial.in_boxes(F.col(lat), F.col(lon), spatial.boxes_around(*centre, metres))
     out = df.where(near)
     if nine_cells:
         cell = spatial.geohash_of(*centre, precision)
@@ -167,8 +167,8 @@ def geo_audience(df: DataFrame, lat: str, lon: str, centre: tuple[float, float],
 # ---- lifecycle
 
 class Registry:
-    """Named indexes of one session: built before they are known, described, rebuilt from the
-    current table, so no stale entries survive."""
+    """Named indexes of one session: built before they are known, described, maintained by the
+    rows that a write changes, and rebuilt from the current table."""
 
     KINDS = {
         "trigram": lambda df, c: trigram_index(df, c["key"], c["field"]),
@@ -194,6 +194,16 @@ class Registry:
     def describe(self, name: str) -> dict:
         return {k: v for k, v in self.known[name].items() if k != "table"}
 
+    def apply(self, name: str, written: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+        """The index after a write: entries of the written and deleted keys leave, those of the
+        written rows enter. Only these rows are indexed; the key must be unique in written."""
+        e = self.known[name]
+        key = e["config"]["key"]
+        gone = written.select(key) if deleted is None else written.select(key).unionByName(deleted.select(key))
+        kept = e["table"].join(gone.distinct(), key, "left_anti").select(*e["table"].columns)
+        e["table"] = kept.unionByName(self.KINDS[e["kind"]](written, e["config"]))
+        return e["table"]
+
     def rebuild(self, name: str, df: DataFrame) -> DataFrame:
         e = self.known[name]
         e["table"] = self.KINDS[e["kind"]](df, e["config"])

@@ -132,13 +132,15 @@ def mmr_order(vectors: np.ndarray, lam: float, n: int, metric: str = "cosine") -
 
 def diversify(ranked: DataFrame, vector: str, lam: float, n: int, order: list[str], metric: str = "cosine") -> DataFrame:
     """The n rows that MMR picks from a ranked slate, with slot from 0. The choice is
-    sequential, so the slate goes to one task; it is at most MAX_SLATE rows."""
+    sequential, so the slate goes to one task; more than MAX_SLATE rows raise."""
     if not 0 <= lam <= 1:
         raise ValueError("lambda is 0 to 1")
-    slate = ranked.orderBy(*order).limit(MAX_SLATE)
+    slate = ranked.orderBy(*order).limit(MAX_SLATE + 1)
     schema = slate.schema.simpleString()[len("struct<"):-1]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_SLATE:
+            raise ValueError(f"a slate of more than {MAX_SLATE} rows can't be diversified; limit it first")
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         chosen = mmr_order(np.stack([np.asarray(v, float) for v in pdf[vector]]), lam, n, metric) if len(pdf) else []
         out = pdf.iloc[chosen].copy()

@@ -148,6 +148,23 @@ def backup(store: Store, name: str, snapshot: DataFrame, change_index: int) -> d
     return store.write(f"backup-{name}", snapshot, change_index=change_index, rows=snapshot.count())
 
 
+def backup_due(versions: list[dict], now: float, every: float) -> bool:
+    """Whether a scheduled backup is to run: there is none yet, or the last is `every` seconds old."""
+    return not versions or now - max(v["at"] for v in versions) >= every
+
+
+def scheduled_backup(store: Store, name: str, snapshot: DataFrame, change_index: int, every: float, now: float | None = None, keep_latest: int | None = None, max_age: float | None = None) -> dict | None:
+    """One tick of a backup schedule: the new backup's note if one was due, else None. After a
+    backup those that the retention policy gives up are deleted."""
+    now = time.time() if now is None else now
+    if not backup_due(store.versions(f"backup-{name}"), now, every):
+        return None
+    note = store.write(f"backup-{name}", snapshot, change_index=change_index, rows=snapshot.count(), at=now)
+    for old in to_delete(store.versions(f"backup-{name}"), now, keep_latest, max_age):
+        store.delete(f"backup-{name}", old["version"])
+    return note
+
+
 def to_delete(versions: list[dict], now: float, keep_latest: int | None = None, max_age: float | None = None) -> list[dict]:
     """Backups that violate the policy, oldest first; with both rules a backup must violate both."""
     if keep_latest is None and max_age is None:

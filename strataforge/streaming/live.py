@@ -24,7 +24,8 @@ def follow(spark: SparkSession, path: str, max_files: int | None = None) -> Data
 
 def fast_view(stream: DataFrame, store: views.Store, name: str, keys: list[str], order: str, checkpoint: str):
     """Keeps the last row of each key. Each batch is merged into a new version, whose note
-    carries the batch number, so a batch that is run again changes nothing."""
+    carries the batch number, so a batch that is run again changes nothing. The version before
+    it stays for its readers; older ones go."""
 
     def merge(batch: DataFrame, number: int) -> None:
         done = store.versions(name)
@@ -34,6 +35,8 @@ def fast_view(stream: DataFrame, store: views.Store, name: str, keys: list[str],
         if done:
             fresh = changes.latest(store.read(name).unionByName(fresh), keys, order)
         store.write(name, fresh, batch=number)
+        for old in sorted(done, key=lambda v: v["version"])[:-1]:
+            store.delete(name, old["version"])
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

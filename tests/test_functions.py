@@ -116,3 +116,17 @@ def test_a_cuckoo_filter_forgets():
     with pytest.raises(sketches.FilterFull):
         for i in range(50):
             small.add(str(i))
+
+
+def test_circles_near_the_date_line_and_the_poles(spark):
+    """The boxes before the exact test lose no point; they are the least of their kind elsewhere."""
+    rnd = random.Random(21)
+    points = [(math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180)) for _ in range(4000)] + [(90.0, 3.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0)]
+    df = spark.createDataFrame(points, "lat double, lon double").persist()
+    for lat, lon, metres in [(0, 179.5, 900e3), (0, -179.5, 900e3), (85, 10, 1e6), (60, 0, 2e6), (-89, -170, 5e5), (90, 0, 3e6), (10, 20, 15e6), (0, 180, 2e7), (-45, 170, 3e6)]:
+        def far(a, o):
+            h = math.sin(math.radians(a - lat) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(lat)) * math.sin(math.radians(o - lon) / 2) ** 2
+            return 2 * spatial.INDEX_RADIUS * math.asin(min(1, math.sqrt(h)))
+
+        want = sum(far(a, o) <= metres for a, o in points)
+        assert df.where(spatial.within(F.col("lat"), F.col("lon"), float(lat), float(lon), metres)).count() == want > 0
