@@ -324,6 +324,35 @@ def test_top_k_with_ties_and_odd_vectors(spark):
             assert got.get(i, []) == [(j, -s) for s, j in want]
 
 
+def top_of(ids, matrix, q_id, q, k):
+    return sorted(((-int(q @ v), int(i)) for i, v in zip(ids, matrix) if i != q_id))[:k]
+
+
+@pytest.mark.parametrize("spread", ["few large components", "all components alike"])
+def test_queries_stop_only_on_proof(spread):
+    rnd = np.random.default_rng(5)
+    if spread == "few large components":
+        matrix = rnd.integers(-2, 3, (3000, 48)) + (rnd.random((3000, 48)) < .04) * rnd.integers(-900, 901, (3000, 48))
+    else:
+        matrix = rnd.choice([-3, -2, 2, 3], (3000, 48))
+    ids = np.arange(3000)
+    matrix = matrix.astype(np.int32)
+    block, read = topk.indexed(ids, matrix), {}
+    queries = np.arange(0, 3000, 100)
+    for q, found, scores in topk.block_top_k(queries, matrix[queries], block, 20, read):
+        assert list(zip((-scores).tolist(), found.tolist())) == top_of(ids, matrix, q, matrix[q].astype(np.int64), 20)
+    steps = np.array([read[int(q)] for q in queries])
+    assert (steps < len(block.ends)).all() if spread == "few large components" else (steps == len(block.ends)).all()
+
+
+def test_top_k_of_an_empty_table_long_vectors_and_clashing_columns(spark):
+    schema = "vec_id long, embedding array<float>, slot int, dim int, score double, rank int"
+    assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
+    rows = [(i, [float(i % 7)] * 5000, 1, 2, 3.0, 4) for i in range(0, 60)]
+    got = topk.top_k(spark.createDataFrame(rows, schema), k=3).where("query_id = 20").orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 5000 * 64 * 64 * 6 * 6) for i in (6, 13, 27)]
+
+
 # ---- 8
 
 def test_shards_are_even_and_groups_together(spark, odd, none):
