@@ -29,6 +29,14 @@ SELECT source, lang, version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT
 """
 
 
+def token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's rollup by a real tokenizer: part of the table moves from words to its version."""
+    import public_tokenizers
+
+    bpe = token_counts.of_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.migrated(table(spark, sf_dir, "documents"), {"words-1": token_counts.words}, {"bpe-49k": bpe})
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -96,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_pii_surrogates": op9_pii_surrogates,
         "op10_sentencepiece": op10_sentencepiece,
+        "token_counts_bpe": token_counts_bpe,
     }
 
 

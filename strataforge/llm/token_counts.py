@@ -18,9 +18,14 @@ Defined results: null source, lang or version are keys of their own; null or emp
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import token_files
 from .common import free_shuffles, new_path
 
 KEYS = ["source", "lang", "version"]
@@ -38,6 +43,21 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def of_tokenizer(path: str) -> Callable[[Column], Column]:
+    """Counts by a tokenizer file of the tokenizers library, without special tokens."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = token_files.encoder_for(path)
+        for texts in batches:
+            raw, sizes = [(t or "").encode() for t in texts], []
+            for group in token_files.groups(raw, token_files.GROUP_BYTES):
+                sizes.append(np.diff(encoder.encode(group)[1], prepend=0))
+            yield pd.Series(np.concatenate(sizes) if sizes else np.zeros(0), dtype="int64")
+
+    return count
+
+
 TOKENIZERS = {"words-1": words, "bytes-1": utf8_bytes}
 
 
@@ -153,3 +173,14 @@ def maintained(docs: DataFrame, tokenizers: dict | None = None, path: str | None
     rollup.commit("2-revise", revisions(counted(changing, tokenizers), counted(after, tokenizers)))
     rollup.commit("0-insert", inserts(counts))
     return rollup.totals()
+
+
+def migrated(docs: DataFrame, old: dict, new: dict, path: str | None = None) -> DataFrame:
+    """Totals after a change of tokenizer version: every document is counted by the old one,
+    then those of ids that leave 2 divided by 10 are revised to the new one."""
+    rollup = Rollup(docs.sparkSession, path)
+    docs = docs.select("doc_id", "source", "lang", "text")
+    rollup.commit("0-insert", inserts(counted(docs, old)))
+    moving = docs.where("doc_id % 10 = 2")
+    rollup.commit("1-migrate", revisions(counted(moving, old), counted(moving, new)))
+    return rollup.totals()

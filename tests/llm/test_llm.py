@@ -62,6 +62,17 @@ def test_rollups_count_a_batch_once(spark, odd, none, tmp_path):
         r.commit("../x", token_counts.inserts(counts))
 
 
+def test_counts_follow_a_change_of_tokenizer_version(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    rows = [(2, "Hello there, wörld 日本"), (12, None), (3, "one two"), (22, ""), (32, "a " * 5000), (2, "Hello there, wörld 日本"), (None, "no id")]
+    got = {tuple(r)[:3]: (r.documents, r.tokens) for r in token_counts.migrated(table(spark, rows), {"w": token_counts.words}, {"b": token_counts.of_tokenizer(path)}).collect()}
+    moved = [t or "" for i, t in rows if i is not None and i % 10 == 2]
+    assert got == {("s", "en", "b"): (5, sum(len(whole.encode(t, add_special_tokens=False).ids) for t in moved)), ("s", "en", "w"): (2, 4)}
+
+
 # ---- 2 and 3
 
 def auc(score, y):
@@ -270,6 +281,41 @@ def test_components_equal_brute_force(spark, bands):
     assert {k: v for k, v in got.items() if k is not None} == want and got[None][1] is None
 
 
+def test_words_of_one_structure_do_not_hash_alike(spark):
+    """Thue-Morse words and their complements cancel in polynomial hashes modulo 2 ** 64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word[:64]), (4, other[:64]), (5, word[:7]), (6, word[:7] + "\x00")]
+    got = {r.doc_id: r.component_id for r in jaccard.linked_documents(table(spark, rows)).collect()}
+    assert got == {i: i for i in range(1, 7)}
+
+
+def test_families_under_the_threshold_part_exactly(spark):
+    """Copies that resemble each other about as much as the threshold, in more than one block."""
+    rnd = random.Random(31)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for d in range(420):
+        w = list(base)
+        for i in rnd.sample(range(120), rnd.choice([2, 3, 4, 5])):
+            w[i] = f"x{rnd.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_documents(table(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 400
+
+
+def test_sketches_bound_differences():
+    rnd = np.random.default_rng(3)
+    for n in (1, 5, 300, 40_000):
+        a = rnd.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64)
+        b = np.concatenate([a[n // 9:], rnd.integers(0, 1 << 63, n // 7, dtype=np.int64).view(np.uint64)])
+        x, y = jaccard.folded([jaccard.sketch(a), jaccard.sketch(b)])
+        differ = int(np.bitwise_count(x ^ y).sum())
+        assert differ <= n // 9 + n // 7 and differ >= .7 * (n // 9 + n // 7)
+
+
 def test_one_of_each_component_stays(spark, none):
     text = " ".join(f"w{i}" for i in range(40))
     docs = table(spark, [(5, text), (3, text), (9, text + " more"), (7, "other"), (None, text)])
