@@ -565,6 +565,39 @@ def test_pieces_of_several_spaces_are_used():
 
 # ---- pipeline
 
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, clashing columns, no rows."""
+    import corpus_pipeline
+
+    rnd = random.Random(41)
+    item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(20))
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, None), (2, ""), (3, "  "), (4, "plain words"), (4, "plain words"), (None, "no id"), (None, item), (5, item + " more"), (6, long), (7, long + " end"), (8, "mail a@b.cd"), (8, "other text"), (9, "日本 ▁ \x00   x")]
+    clash = ["n_entities", "h1", "_h1", "root", "k", "score", "_kept_rank", "row", "found"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(clash))) for i, t in rows], ["doc_id", "text", "lang", "source", "n_chars", *clash])
+    spark.createDataFrame([(4, 1, 0), (8, 0, 1), (99, 1, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dict_of = dict(corpus_pipeline.STAGES)
+    want = {
+        "toxicity": None,
+        "near_duplicates": [r for r in rows if r not in [(7, long + " end")]][:4] + [r for r in rows[5:] if r[0] != 7],
+        "decontamination": [r for r in rows if item not in (r[1] or "")],
+    }
+    for name, stage in dict_of.items():
+        out = stage(spark, docs, f"file://{tmp_path}")
+        got = out.collect()
+        assert stage(spark, docs.limit(0), f"file://{tmp_path}").count() == 0
+        if name == "encoding":
+            assert len(got) == len(rows) and {r.n_ids for r in got if r.doc_id == 1} == {0}
+            continue
+        assert out.columns == docs.columns
+        if want.get(name):
+            assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want[name], key=repr)
+        if name == "personal_data":
+            assert sorted((r.doc_id or 0, r.text or "") for r in got if "@" not in (r.text or "")) == sorted((i or 0, t or "") for i, t in rows if "@" not in (t or ""))
+            assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
+
+
 def test_the_pipeline_applies_every_stage(spark, sf_dir):
     import corpus_pipeline
 
