@@ -80,9 +80,17 @@ def _local(arms: DataFrame) -> pd.DataFrame:
     return rows
 
 
+GAMMA_COUNTS = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * _ODD[1]
+    x = (x ^ (x >> np.uint64(27))) * _ODD[2]
+    return x ^ (x >> np.uint64(31))
+
+
 class _Numbers:
     """Random numbers by counter: those of a (request, arm) depend on its stream and on how
     many were drawn before, not on what else is in the batch."""
@@ -93,16 +101,16 @@ class _Numbers:
     def uniform(self) -> np.ndarray:
         """Within 0 and 1, both excluded."""
         self.drawn += 1
-        x = self.streams + np.uint64(self.drawn) * _ODD[0]
-        x = (x ^ (x >> np.uint64(30))) * _ODD[1]
-        x = (x ^ (x >> np.uint64(27))) * _ODD[2]
-        return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / (1 << 52) + 1 / (1 << 53)
+        x = _mixed(self.streams + np.array([self.drawn], np.uint64) * _ODD[0])
+        return (x >> np.uint64(12)).astype(np.float64) / (1 << 52) + 1 / (1 << 53)
 
     def normal(self) -> np.ndarray:
         return np.sqrt(-2 * np.log(self.uniform())) * np.cos(2 * np.pi * self.uniform())
 
     def gamma(self, shape: np.ndarray) -> np.ndarray:
-        """By Marsaglia and Tsang's rejection; shapes under 1 are drawn one higher and scaled."""
+        """By Marsaglia and Tsang's rejection; shapes under 1 are drawn one higher and scaled.
+        However often others of the batch are rejected, what follows starts at the same count."""
+        after = self.drawn + GAMMA_COUNTS
         d = np.where(shape < 1, shape + 1, shape) - 1 / 3
         c = 1 / np.sqrt(9 * d)
         out, open_ = np.zeros(self.streams.shape), np.ones(self.streams.shape, dtype=bool)
@@ -113,14 +121,15 @@ class _Numbers:
                 ok = open_ & (v > 0) & (np.log(u) < z * z / 2 + d - d * v + d * np.log(v))
             out[ok] = (d * v)[ok]
             open_ &= ~ok
+        self.drawn = after
         return np.where(shape < 1, out * self.uniform() ** (1 / shape), out)
 
 
 def _drawn(table: pd.DataFrame, keys: np.ndarray, policy: str, family: str, seed: int, epsilon: float, sigma: float) -> np.ndarray:
     """The place of the chosen arm of each request."""
     arm = np.arange(len(table), dtype=np.uint64) * _ODD[2]
-    base = (keys.view(np.uint64) ^ np.array([seed % (1 << 64)], np.uint64) * _ODD[1]) * _ODD[0]
-    numbers = _Numbers(base[:, None] ^ arm[None, :])
+    base = _mixed(keys.view(np.uint64) ^ np.array([seed % (1 << 64)], np.uint64) * _ODD[1])
+    numbers = _Numbers(_mixed(base[:, None] ^ arm[None, :]))
     alpha, beta, pulls = (table[c].to_numpy(float)[None, :] for c in ("alpha", "beta", "pulls"))
     shape = numbers.streams.shape
     if policy == "thompson" and family == "beta":

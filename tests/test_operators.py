@@ -2,9 +2,11 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strataforge.functions import sketches
 from strataforge.operators import aggregate, audience, bandit, candidates, changes, ranking, views
 from strataforge.queries import queries
 from strataforge.streaming import live
@@ -188,3 +190,44 @@ def test_stream_decisions_equal_batch_decisions(spark, tmp_path):
     q.stop()
     streamed = sum(r.allowed for r in spark.table("decided").collect())
     assert streamed == sum(replay(hits, limit=3, window=100).values())
+
+
+@pytest.mark.parametrize("shape", [0.3, 1.0, 2.5, 40.0])
+def test_draws_by_counter_have_their_distribution(shape):
+    numbers = bandit._Numbers(np.arange(60_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    g, z = numbers.gamma(np.full(60_000, shape)), numbers.normal()
+    assert abs(g.mean() - shape) < 5 * np.sqrt(shape / 60_000) and abs(g.var() / shape - 1) < .1
+    assert abs(z.mean()) < .02 and abs(z.std() - 1) < .02
+
+
+def test_a_draw_depends_on_its_request_only():
+    table = pd.DataFrame({"arm": list("abc"), "pulls": [3, 0, 9], "rewards": [1.0, 0, 8], "alpha": [2.0, 1, 9], "beta": [3.0, 1, 2], "mu": [.1, .2, .3], "m2": [0.0] * 3})
+    keys = np.arange(-50, 50)
+    for policy, family in (("thompson", "beta"), ("thompson", "gaussian"), ("epsilon", "beta")):
+        whole = bandit._drawn(table, keys, policy, family, 7, .3, 1.0)
+        some = [int(bandit._drawn(table, keys[i:i + 1], policy, family, 7, .3, 1.0)[0]) for i in range(100)]
+        assert whole.tolist() == some and len(set(some)) > 1
+
+
+def test_sharded_cuckoo_filters_have_no_false_negative(spark):
+    rows = [(f"v{i}", 1) for i in range(3000)] + [(f"v{i}", -1) for i in range(0, 3000, 3)] + [(None, 1), ("never", -1)]
+    filters = sketches.cuckoo_shards(spark.createDataFrame(rows, "v string, sign int"), "v", 4, 1 << 9, 16, "sign")
+    asked = spark.createDataFrame([(f"v{i}",) for i in range(6000)] + [(None,), ("never",)], "v string")
+    got = {r.v for r in sketches.cuckoo_members(filters, asked, "v", 4, 1 << 9, 16).collect()}
+    want = {f"v{i}" for i in range(3000) if i % 3}
+    assert got >= want and len(got - want) < 40
+    assert sketches.cuckoo_members(filters, asked.limit(0), "v", 4, 1 << 9, 16).count() == 0
+
+
+def test_request_ids_are_remembered_for_their_life(spark):
+    rows = [("a", 1, 0), ("a", 2, 59), ("a", 3, 60), ("a", 4, 100), ("b", 5, 1), (None, 6, 1), (None, 7, 1)]
+    got = audience.fresh_requests(spark.createDataFrame(rows, "id string, n int, sec long"), "id", ["n"], "sec").collect()
+    assert sorted(r.n for r in got) == [1, 3, 5, 6, 7]
+
+
+def test_a_slate_that_is_too_long_raises(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MAX_SLATE", 5)
+    ranked = spark.createDataFrame([(i, [float(i), 1.0], float(i)) for i in range(6)], "vec_id long, v array<double>, distance double")
+    with pytest.raises(Exception, match="more than"):
+        ranking.diversify(ranked, "v", .5, 3, ["distance", "vec_id"]).collect()
+    assert ranking.diversify(ranked.limit(5), "v", .5, 3, ["distance", "vec_id"]).count() == 3
