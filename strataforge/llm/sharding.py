@@ -19,6 +19,8 @@ shard from 0 without a gap; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,9 @@ def _fill(free: DataFrame, deficits: list[float], buckets: int) -> DataFrame:
 
 
 def balanced_shards(docs: DataFrame, shards: int = 24, steps: int = 12) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row. Labels spread until
+    none moves, for as many steps at most; rows that still move then are told in a warning, as
+    groups of theirs may be split."""
     spark = docs.sparkSession
     base, base_path = stored(_sizes(docs), "shard-sizes")
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.max("size"), F.lit(0)).alias("most")).first()
@@ -117,8 +121,12 @@ def balanced_shards(docs: DataFrame, shards: int = 24, steps: int = 12) -> DataF
         if old:
             discard(spark, old)
         linked, old = now.drop("moved"), path
-        if not now.where("moved").agg(F.count("*").alias("n")).first().n:
+        moving = now.where("moved").agg(F.count("*").alias("n")).first().n
+        if not moving:
             break
+    else:
+        if steps:
+            warnings.warn(f"{moving} linked rows still moved between shards after {steps} steps", stacklevel=2)
 
     # a shard that the linked documents overfill gives up the excess, by hash
     load = {r.shard: r.load for r in linked.groupBy("shard").agg(F.sum("size").alias("load")).collect()} if old else {}
