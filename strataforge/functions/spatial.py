@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,8 +119,8 @@ def in_boxes(lat: Column, lon: Column, boxes: list[tuple[float, float, float, fl
 
 
 def in_box(lat: Column, lon: Column, min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> Column:
-    """Inclusive; a missing coordinate is outside."""
-    return F.coalesce(lat.between(min_lat, max_lat) & lon.between(min_lon, max_lon), F.lit(False))
+    """Inclusive; a missing coordinate is outside. Plain comparisons reach the scan."""
+    return lat.isNotNull() & lon.isNotNull() & lat.between(min_lat, max_lat) & lon.between(min_lon, max_lon)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS) -> Column:
@@ -165,3 +166,46 @@ def in_z_box(values: list[Column], ranges: list[tuple[float, float]], low: list[
         bounds = [math.floor((min(max(x, a), b) - a) / (b - a) * ((1 << 32) - 1)) for x in (lo, hi)]
         out = out & normalise(v, a, b).between(*bounds)
     return F.coalesce(out, F.lit(False))
+
+
+def z_ranges(ranges: list[tuple[float, float]], low: list[float], high: list[float], at_most: int = 64, bits: int = 32) -> list[tuple[str, str]]:
+    """At most `at_most` inclusive ranges of z_order texts that together hold the box, in order.
+    The curve is halved from the whole: halves outside the box go, those inside it stay, and
+    the largest of the others are halved on while there is room."""
+    box = []
+    for (a, b), lo, hi in zip(ranges, low, high):
+        box.append([math.floor((min(max(x, a), b) - a) / (b - a) * ((1 << 32) - 1)) >> 32 - bits for x in (lo, hi)])
+    if any(lo > hi for lo, hi in box):
+        return []
+    n, depth_of_all = len(box), bits * len(box)
+    whole = (0, 0, tuple((0, (1 << bits) - 1) for _ in box))
+    open_parts, done = deque([whole]), []
+    while open_parts:
+        depth, prefix, sides = open_parts.popleft()
+        if any(b < lo or a > hi for (a, b), (lo, hi) in zip(sides, box)):
+            continue
+        inside = all(lo <= a and b <= hi for (a, b), (lo, hi) in zip(sides, box))
+        if inside or len(open_parts) + len(done) + 2 > at_most:
+            done.append((prefix << depth_of_all - depth, ((prefix + 1) << depth_of_all - depth) - 1))
+            continue
+        a, b = sides[depth % n]
+        middle = (a + b) // 2
+        for bit, half in ((0, (a, middle)), (1, (middle + 1, b))):
+            open_parts.append((depth + 1, prefix * 2 + bit, (*sides[:depth % n], half, *sides[depth % n + 1:])))
+    joined = []
+    for a, b in sorted(done):
+        if joined and joined[-1][1] + 1 == a:
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    digits = -(-depth_of_all // 4)
+    return [(f"{a:0{digits}x}", f"{b:0{digits}x}") for a, b in joined]
+
+
+def in_z_ranges(z: Column, ranges: list[tuple[str, str]]) -> Column:
+    """Whether a stored z_order text lies in one of the ranges; the test reaches the scan, so a
+    table sorted by it is read in part. in_z_box is the exact test to put behind it."""
+    out = F.lit(False)
+    for a, b in ranges:
+        out = out | z.between(a, b)
+    return z.isNotNull() & out

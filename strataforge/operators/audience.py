@@ -1,9 +1,10 @@
 """Deduplication with a time to live, sliding-window frequency caps, and reach.
 
 Whether a hit is allowed depends on the hits allowed before it, so each (scope, key) is one
-ordered fold. Hits are dealt by key and sorted within the tasks, and the fold runs over the
-sorted stream with one key's state at a time: a deque of at most `limit` times, so memory
-doesn't grow with a key's hits.
+ordered fold. No state outlives a gap of the longer of both rules, so a key's time line is cut
+at such gaps and its pieces are dealt to different tasks. Hits are sorted within the tasks, and
+the fold runs over the sorted stream with one key's state at a time: a deque of at most `limit`
+times, so memory doesn't grow with a key's hits.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import candidates
@@ -29,6 +30,27 @@ class Rules:
     window: float | None = None
 
 
+def _dealt(hits: DataFrame, keys: list[str], seconds: str, rules: Rules) -> DataFrame:
+    """hits by key and piece of its time line. Gaps are looked for between cells as wide as the
+    longer rule: hits are aggregated to one row a key and cell first, so a busy key brings no
+    more rows to a task than it has cells."""
+    wide = max(rules.ttl or 0, (rules.window or 0) if rules.limit is not None else 0)
+    if wide <= 0:
+        return hits.repartition(*keys)
+    names = [f"{n}{'_' * max(map(len, hits.columns))}" for n in ("cell", "piece", *(f"key{i}" for i in range(len(keys))))]
+    cell, piece, renamed = names[0], names[1], names[2:]
+    placed = hits.withColumn(cell, F.floor(F.col(seconds) / F.lit(wide)))
+    cells = placed.groupBy(*(F.col(k).alias(r) for k, r in zip(keys, renamed)), cell).agg(F.min(seconds).alias("first"), F.max(seconds).alias("last"))
+    line = Window.partitionBy(*renamed).orderBy(cell)
+    before = F.lag("last").over(line)
+    cut = F.coalesce((before <= F.col("first") - F.lit(wide)) & (F.col("first") >= before + F.lit(wide)), F.lit(False))
+    pieces = cells.withColumn("cut", cut.cast("int")).select(*renamed, F.col(cell).alias(f"{cell}_"), F.sum("cut").over(line).alias(piece))
+    same = F.col(cell).eqNullSafe(F.col(f"{cell}_"))
+    for k, r in zip(keys, renamed):
+        same = same & F.col(k).eqNullSafe(F.col(r))
+    return placed.join(pieces, same).repartition(*keys, piece).select(*hits.columns)
+
+
 def decide(hits: DataFrame, keys: list[str], order: list[str], seconds: str, rules: Rules) -> DataFrame:
     """hits with allowed and reason (freq_cap or duplicate, else null).
 
@@ -64,7 +86,7 @@ def decide(hits: DataFrame, keys: list[str], order: list[str], seconds: str, rul
     from pyspark.sql.types import BooleanType, StringType, StructType
 
     schema = StructType([*hits.schema.fields]).add("allowed", BooleanType()).add("reason", StringType())
-    dealt = hits.repartition(*keys).sortWithinPartitions(*keys, seconds, *order)
+    dealt = _dealt(hits, keys, seconds, rules).sortWithinPartitions(*keys, seconds, *order)
     return dealt.mapInArrow(run, schema)
 
 

@@ -169,12 +169,12 @@ def recommend(df: DataFrame, vector: str, target, limit: int, key: str, where: s
         slate = kept.withColumn("slot", (F.row_number().over(Window.orderBy("distance", key)) - 1).cast("int"))
     free = slate if spent is None else slate.join(spent.select(key), key, "left_anti")
     final = free.orderBy("slot").limit(limit)
-    count = lambda x: x.agg(F.count(F.lit(1)).alias("n"))
-    stages = [("retrieve", df, retrieved), ("filter", retrieved, kept), ("diversify", kept, slate), ("cap", slate, free)]
-    report = None
-    for at, (name, a, b) in enumerate(stages):
-        row = count(a).select(F.lit(at).alias("at"), F.lit(name).alias("stage"), F.col("n").alias("n_in"))
-        # one row on either side
-        row = row.join(F.broadcast(count(b).select(F.lit(at).alias("at"), F.col("n").alias("n_out"))), "at")
-        report = row if report is None else report.unionByName(row)
+    # each stage takes what the one before it gave, so five counts tell all
+    sizes = None
+    for at, part in enumerate((df, retrieved, kept, slate, free)):
+        row = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(at).alias("at"), "n")
+        sizes = row if sizes is None else sizes.unionByName(row)
+    names = F.array(*(F.lit(n) for n in ("retrieve", "filter", "diversify", "cap")))
+    whole = sizes.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("n"))
+    report = whole.select("n", F.posexplode(names).alias("at", "stage")).select("at", "stage", F.col("n")[F.col("at")].alias("n_in"), F.col("n")[F.col("at") + 1].alias("n_out"))
     return final, report

@@ -130,3 +130,24 @@ def test_circles_near_the_date_line_and_the_poles(spark):
 
         want = sum(far(a, o) <= metres for a, o in points)
         assert df.where(spatial.within(F.col("lat"), F.col("lon"), float(lat), float(lon), metres)).count() == want > 0
+
+
+def test_z_ranges_hold_their_box_and_reach_the_scan(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, lat double, lon double")
+    sides, dims = [(-90, 90), (-180, 180)], [spatial.normalise(F.col("lat"), -90, 90), spatial.normalise(F.col("lon"), -180, 180)]
+    df.withColumn("z", spatial.z_order(dims)).sort("z").coalesce(1).write.parquet(f"{tmp_path}/z")
+    stored = spark.read.parquet(f"{tmp_path}/z")
+    for low, high in (([10, 20], [30, 60]), ([-1, -1], [1, 1]), ([-90, -180], [90, 180]), ([5, 5], [4, 4])):
+        exact = spatial.in_z_box([F.col("lat"), F.col("lon")], sides, low, high)
+        want = {i for i, y, x in rows if low[0] <= y <= high[0] and low[1] <= x <= high[1]}
+        for at_most in (1, 8, 64):
+            ranges = spatial.z_ranges(sides, low, high, at_most)
+            assert len(ranges) <= at_most
+            near = stored.where(spatial.in_z_ranges(F.col("z"), ranges))
+            assert {r.id for r in near.where(exact).collect()} == want
+        assert near.count() <= 4 * len(want) + 40
+    for where, name in ((spatial.in_z_ranges(F.col("z"), spatial.z_ranges(sides, [10, 20], [30, 60], 4)), "z"), (spatial.within(F.col("lat"), F.col("lon"), 5, 179, 900_000), "lat")):
+        plan = stored.where(where)._jdf.queryExecution().executedPlan().toString()
+        assert f"GreaterThanOrEqual({name}," in plan.split("PushedFilters")[1]

@@ -1,5 +1,4 @@
 import random
-import time
 
 import numpy as np
 import pandas as pd
@@ -51,6 +50,24 @@ def test_audience_decisions_equal_a_replay(spark, rules):
     assert got == replay(hits, **rules)
 
 
+def test_a_busy_key_is_cut_where_no_state_is_left(spark):
+    rnd = random.Random(6)
+    hits = [(None if i % 3 else 1, i, 1000 * rnd.randrange(40) + rnd.randrange(90)) for i in range(600)]
+    df = spark.createDataFrame(hits, "piece int, cell long, sec long")
+    rules = dict(limit=2, window=50, ttl=20)
+    dealt = audience._dealt(df, ["piece"], "sec", audience.Rules(**rules))
+    assert dealt.columns == df.columns and dealt.count() == len(hits)
+    # without adaptive execution, which puts partitions as small as these together
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = dealt.where("piece is null").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert tasks > 1
+    got = {r.cell: r.allowed for r in audience.decide(df, ["piece"], ["cell"], "sec", audience.Rules(**rules)).collect()}
+    assert got == replay([(-1 if user is None else user, event, at) for user, event, at in hits], **rules)
+
+
 def test_bandits_converge(spark):
     rnd = random.Random(7)
     rates = {"a": .1, "b": .55, "c": .3}
@@ -172,26 +189,48 @@ def test_a_fast_view_ignores_repeated_batches(spark, tmp_path):
     go()
     df.where("index >= 10").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     go()
-    assert sorted((r.k, r["index"]) for r in store.read("v").collect()) == [(0, 18), (1, 19), (2, 17)]
+    view = lambda: sorted((r.k, r["index"]) for r in live.read_fast_view(store, "v", ["k"], "index").collect())
+    assert view() == [(0, 18), (1, 19), (2, 17)]
     assert len(store.versions("v")) == 2
+    # a stream that starts anew gives batch numbers that are there already
+    live.fast_view(live.follow(spark, f"{tmp_path}/log", 1), store, "v", ["k"], "index", f"{tmp_path}/cp2").awaitTermination()
+    assert view() == [(0, 18), (1, 19), (2, 17)] and len(store.versions("v")) == 2
+
+
+def test_segments_of_a_fast_view_are_merged(spark, tmp_path):
+    store = views.Store(spark, f"file://{tmp_path}/store")
+    for i in range(9):
+        spark.createDataFrame([(i, i % 4), (i + 100, 9)], "index long, k long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    live.fast_view(live.follow(spark, f"{tmp_path}/log", 1), store, "v", ["k"], "index", f"{tmp_path}/cp", segments=3).awaitTermination()
+    got = {r.k: r["index"] for r in live.read_fast_view(store, "v", ["k"], "index").collect()}
+    assert got == {0: 8, 1: 5, 2: 6, 3: 7, 9: 108}
+    assert sum(v["whole"] for v in store.versions("v")) == 2 and len(store.versions("v")) < 9
 
 
 def test_stream_decisions_equal_batch_decisions(spark, tmp_path):
     rnd = random.Random(9)
-    hits = [(rnd.randrange(3), i, rnd.randrange(500)) for i in range(100)]
+    hits = [(rnd.randrange(3), i, rnd.randrange(1, 500)) for i in range(100)]
     df = spark.createDataFrame(hits, "user int, event long, sec long")
     df.coalesce(1).write.parquet(f"{tmp_path}/hits")
     out = live.decide_stream(live.follow(spark, f"{tmp_path}/hits"), ["user"], "sec", limit=3, window=100)
-    q = out.writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
-    # a query with processing-time timeouts never ends by itself
-    until = time.time() + 60
-    while time.time() < until and spark.table("decided").count() < len(hits):
-        time.sleep(.5)
-    q.stop()
+    out.writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     streamed = sum(r.allowed for r in spark.table("decided").collect())
     assert streamed == sum(replay(hits, limit=3, window=100).values())
 
 
+def test_stream_state_lives_by_the_time_of_hits(spark, tmp_path):
+    """Batches far apart in time, some of them within a rule's reach of the one before."""
+    hits, at = [], 1000
+    for i, step in enumerate((0, 5, 5, 4000, 10, 90, 9000, 1, 1, 1)):
+        at += step
+        hits += [(1, i, at)]
+        spark.createDataFrame(hits[-1:], "user int, event long, sec long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/hits")
+    out = live.decide_stream(live.follow(spark, f"{tmp_path}/hits", 1), ["user"], "sec", limit=2, window=100, ttl=20, late="10 seconds")
+    out.writeStream.format("memory").queryName("decided_by_time").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {r.event: r.allowed for r in spark.table("decided_by_time").collect()}
+    assert got == replay(hits, limit=2, window=100, ttl=20) and len(spark.table("decided_by_time").columns) == 5
+
+
 @pytest.mark.parametrize("shape", [0.3, 1.0, 2.5, 40.0])
 def test_draws_by_counter_have_their_distribution(shape):
     numbers = bandit._Numbers(np.arange(60_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
