@@ -123,6 +123,23 @@ def lsh_buckets(df: DataFrame, key: str, vector: str, planes: np.ndarray, weakes
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, band int, bucket long")
 
 
+def probes(target, planes: np.ndarray, weakest: int = 0) -> list[tuple[int, list[int]]]:
+    """The band and buckets that lsh_buckets gives one vector, on the driver."""
+    dots = planes @ np.asarray(target, float)
+    weights = 1 << np.arange(planes.shape[1])
+    nearest = np.argsort(np.abs(dots) / np.linalg.norm(planes, axis=2), axis=1)[:, :weakest]
+    codes = ((dots >= 0) * weights).sum(axis=1)
+    return [(band, [int(c), *(int(c ^ weights[i]) for i in near)]) for band, (c, near) in enumerate(zip(codes, nearest))]
+
+
+def in_buckets(asked: list[tuple[int, list[int]]]) -> Column:
+    """Whether an index row is in one of the buckets; plain comparisons, so the scan sees them."""
+    out = F.lit(False)
+    for band, buckets in asked:
+        out = out | ((F.col("band") == band) & F.col("bucket").isin(*buckets))
+    return out
+
+
 def ann_search(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", planes: np.ndarray | None = None, dim: int | None = None, weakest: int = 4) -> DataFrame:
     """query_id, key, distance, rank of the k nearest candidates in the queries' buckets and
     those across their weakest planes."""

@@ -57,10 +57,11 @@ class SearchPlan:
     selectivity: float
     factor: int
 
-    def node(self, k: int) -> Node:
+    def node(self, k: int, below: Node | None = None) -> Node:
+        below = below or Node("Scan")
         if self.strategy == "filter_first":
-            return Node("TopK", f"k={k}", [Node("Filter", f"selectivity={self.selectivity:.3f}", [Node("Scan")])])
-        return Node("Limit", f"k={k}", [Node("Filter", f"selectivity={self.selectivity:.3f}", [Node("TopK", f"k={k * self.factor}", [Node("Scan")])])])
+            return Node("TopK", f"k={k}", [Node("Filter", f"selectivity={self.selectivity:.3f}", [below])])
+        return Node("Limit", f"k={k}", [Node("Filter", f"selectivity={self.selectivity:.3f}", [Node("TopK", f"k={k * self.factor}", [below])])])
 
 
 @dataclass
