@@ -270,3 +270,58 @@ def test_a_slate_that_is_too_long_raises(spark, monkeypatch):
     with pytest.raises(Exception, match="more than"):
         ranking.diversify(ranked, "v", .5, 3, ["distance", "vec_id"]).collect()
     assert ranking.diversify(ranked.limit(5), "v", .5, 3, ["distance", "vec_id"]).count() == 3
+
+
+def _bucket_oracle(v, ids, asked, planes, weakest, k):
+    """The k nearest by cosine of those that share a bucket with a query, row by row."""
+    dots = np.einsum("sbd,nd->nsb", planes, v)
+    bits = dots >= 0
+    margin = np.argsort(np.abs(dots) / np.linalg.norm(planes, axis=2), axis=2)[..., :weakest]
+    unit, out = v / np.linalg.norm(v, axis=1, keepdims=True), set()
+    for i in np.flatnonzero(asked):
+        differ = bits != bits[i]
+        near = np.zeros(differ.shape[:2], dtype=bool)
+        for s in range(len(planes)):
+            may = np.zeros(differ.shape[2], dtype=bool)
+            may[margin[i, s]] = True
+            near[:, s] = (differ[:, s].sum(axis=1) == 0) | ((differ[:, s].sum(axis=1) == 1) & ~(differ[:, s] & ~may).any(axis=1))
+        members = np.flatnonzero(near.any(axis=1))
+        d = np.round(1 - unit[members] @ unit[i], 12)
+        best = np.lexsort((ids[members], d))[:k]
+        out |= {(int(ids[i]), int(ids[members[b]]), r + 1) for r, b in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_vector_search_gives_the_best_of_the_buckets_without_making_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(candidates, "BLOCK", block)
+    rnd = np.random.default_rng(3)
+    v = np.round(rnd.standard_normal((160, 8)), 3)
+    v[40:100] = v[0]
+    ids = rnd.permutation(160)
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v)]
+    odd = [(1000, [None] + [1.0] * 7), (1001, [float("nan")] * 8), (1002, None), (1003, [1.0])]
+    e = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    planes = candidates.hyperplanes(8, 3, 3)
+    found = candidates.ann_search(e, e.where("id % 4 = 0"), "id", "v", 5, planes=planes, weakest=1)
+    assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == _bucket_oracle(v, ids, ids % 4 == 0, planes, 1, 5)
+    # buckets meet as blocks: no join has a row for each pair of a query and a candidate
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_block_distances_are_those_of_the_columns(spark, metric):
+    from strataforge.functions import distance as distances
+
+    rnd = np.random.default_rng(4)
+    q, v = rnd.standard_normal((9, 6)), rnd.standard_normal((50, 6))
+    q[1], v[3], v[10:30] = q[0], 0, v[5]
+    i, j, d = candidates.nearest_in_block(q, v, 4, metric)
+    pairs = spark.createDataFrame([(a, b, x.tolist(), y.tolist()) for a, x in enumerate(q) for b, y in enumerate(v)], "a int, b int, x array<double>, y array<double>")
+    want = {}
+    for r in pairs.select("a", "b", distances.operator(metric)(F.col("x"), F.col("y")).alias("d")).collect():
+        want.setdefault(r.a, []).append((r.d, r.b))
+    got = {}
+    for a, b, x in zip(i.tolist(), j.tolist(), d.tolist()):
+        got.setdefault(a, []).append((x, b))
+    assert got == {a: sorted(x)[:4] for a, x in want.items()}
