@@ -325,3 +325,27 @@ def test_block_distances_are_those_of_the_columns(spark, metric):
     for a, b, x in zip(i.tolist(), j.tolist(), d.tolist()):
         got.setdefault(a, []).append((x, b))
     assert got == {a: sorted(x)[:4] for a, x in want.items()}
+
+
+def test_classes_of_simhashes_stand_for_all_pairs_in_fewer_rows(spark, tmp_path):
+    names = ["red bolt", "red bolts", "hot ring", "a far longer name of a part", "x", ""]
+    rows = [(i, names[i % 6] if i % 11 else None) for i in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["I8"](spark, str(tmp_path)).collect()
+    sims = {i: candidates._simhash(n) for i, n in rows if n is not None}
+    want = {(q, i, ((sims[q] ^ sims[i]) & (1 << 64) - 1).bit_count()) for q in sims if q % 20 == 0 for i in sims if ((sims[q] ^ sims[i]) & (1 << 64) - 1).bit_count() <= 3}
+    members, of = {}, {}
+    for r in out:
+        if r.kind == "member":
+            members.setdefault(r.class_id, []).append(r.p_partkey)
+            of[r.p_partkey] = r.class_id
+    near = [(r.class_id, r.near_id, r.bits) for r in out if r.kind == "pair"]
+    got = [(q, i, bits) for a, b, bits in near for q in members[a] if q % 20 == 0 for i in members[b]]
+    assert len(got) == len(set(got)) and set(got) == {(q, i, bits) for q, i, bits in want}
+    assert sorted(of) == sorted(sims) and all(min(members[c]) == c for c in members)
+    # before, each query met each copy: 2,500 rows and more
+    assert len(out) <= len(sims) + 36
+    probes = spark.createDataFrame([(i, n) for i, n in rows if n is not None], "id long, name string")
+    index = candidates.simhash(probes, "id", "name")
+    found = candidates.simhash_search(index, index.where("id % 20 = 0").withColumnRenamed("id", "q"), "id", "q", 3)
+    assert {tuple(r) for r in found.collect()} == want
