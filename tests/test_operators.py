@@ -349,3 +349,43 @@ def test_classes_of_simhashes_stand_for_all_pairs_in_fewer_rows(spark, tmp_path)
     index = candidates.simhash(probes, "id", "name")
     found = candidates.simhash_search(index, index.where("id % 20 = 0").withColumnRenamed("id", "q"), "id", "q", 3)
     assert {tuple(r) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_near_sets_are_those_of_the_bands_without_making_pairs(spark, monkeypatch, block):
+    from strataforge.functions import distance as distances
+
+    monkeypatch.setattr(candidates, "BLOCK", block)
+    rnd, rows = random.Random(5), [(900, None), (920, ""), (940, ""), (960, " "), (961, "x")]
+    for family in range(6):
+        words = [f"f{family}w{i}" for i in range(30)]
+        for i in range(20):
+            kept = words if i % 3 == 0 else [w for w in words if rnd.random() < .9]
+            rows.append((family * 20 + i, " ".join(kept)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    words = F.split("text", " ")
+    found = candidates.near_sets(df, "id", words, F.col("id") % 20 == 0, .3, 32, 4)
+    # the plain way: every pair of a bucket, then the distance of each
+    bands = candidates.minhash_bands(df, "id", words, 32, 4)
+    pairs = candidates.band_candidates(bands.where("id % 20 = 0").withColumnRenamed("id", "query_id"), bands, "query_id", "id").where("query_id <> id")
+    sets = df.select("id", F.array_distinct(words).alias("w"))
+    full = pairs.join(sets, "id").join(sets.select(F.col("id").alias("query_id"), F.col("w").alias("v")), "query_id")
+    want = [tuple(r) for r in full.select("query_id", "id", F.round(distances.jaccard(F.col("v"), F.col("w")), 6).alias("d")).where("d <= .3").collect()]
+    assert len(want) > 50 and sorted(tuple(r) for r in found.collect()) == sorted(want)
+    # sets travel once for each bucket, and no join has a row for each pair
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join [band" not in plan
+
+
+def test_min_hashes_are_those_of_sparks_function(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "TOKENS_AT_ONCE", 3)
+    rnd = random.Random(6)
+    sets = [["".join(rnd.choice("aé z") for _ in range(n)) for n in (size, 1, 40)] for size in range(70)] + [[None, "a"], [None], [""]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)] + [(100, []), (101, None)], "id long, t array<string>")
+    minima = F.array(*(F.array_min(F.transform("t", lambda t: F.xxhash64(F.lit(7), F.lit(i), t))) for i in range(4)))
+    by_hand = df.where(F.size("t") > 0).select("id", minima.alias("m"))
+    want = {(r.id, b): x for r in by_hand.select("id", *(F.xxhash64(F.slice("m", 2 * b + 1, 2)).alias(f"b{b}") for b in range(2))).collect() for b, x in enumerate((r.b0, r.b1))}
+    bands = candidates.minhash_bands(df, "id", F.col("t"), 4, 2, 7)
+    assert {(r.id, r.band): r.bucket for r in bands.collect()} == want
+    # before, each hash of each token was an expression of its own that Spark interprets
+    assert "MapInArrow" in bands._jdf.queryExecution().executedPlan().toString()
