@@ -611,3 +611,21 @@ def test_the_pipeline_applies_every_stage(spark, sf_dir):
         docs = out
     assert counts == sorted(counts, reverse=True) and 0 < counts[-1] < 200
     assert corpus_pipeline.run(spark, sf_dir).count() == counts[-1]
+
+
+def test_a_leads_members_meet_as_packed_blocks(spark):
+    n = 3000
+    members = spark.range(n).select(F.lit(0).cast("long").alias("lead"), F.col("id").alias("h1"), F.lit(50).cast("long").alias("weight"), F.col("id").alias("root"))
+    classes = spark.range(n).select(F.col("id").alias("h1"), F.lit(50).cast("long").alias("n_shingles"), F.lit(bytes(16)).alias("sketch"))
+    met = jaccard._meetings(members, classes).collect()
+    blocks = -(-n // jaccard.BLOCK)
+    # before, each member was a row for each block that it met: 36,000 rows
+    assert len(met) == blocks ** 2
+    by_k = {}
+    for r in met:
+        by_k.setdefault(r.k, []).append((r.side, [m.h1 for m in r.members]))
+    pairs = set()
+    for sides in by_k.values():
+        left, right = ([h for s, x in sides if s == side for h in x] for side in (0, 1))
+        pairs |= {(min(a, b), max(a, b)) for a in left for b in (right or left) if a != b}
+    assert len(pairs) == n * (n - 1) // 2
