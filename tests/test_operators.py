@@ -309,6 +309,48 @@ def test_vector_search_gives_the_best_of_the_buckets_without_making_pairs(spark,
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("rows_met", [32768, 60])
+def test_wide_buckets_meet_once_and_not_once_for_each_sketch(spark, monkeypatch, rows_met):
+    monkeypatch.setattr(candidates, "ROWS_MET", rows_met)
+    rnd = np.random.default_rng(5)
+    v = np.round(rnd.standard_normal((300, 8)), 3)
+    v[40:100], v[200:230] = v[0], -v[0]
+    ids = rnd.permutation(300)
+    e = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>")
+    # of few sketches many near rows are no candidates, so some queries look at all their pairs
+    for planes, weakest in ((candidates.hyperplanes(8, 4, 3), 2), (candidates.hyperplanes(8, 1, 4), 2)):
+        found = candidates.ann_search(e, e.where("id % 4 = 0"), "id", "v", 5, planes=planes, weakest=weakest)
+        assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == _bucket_oracle(v, ids, ids % 4 == 0, planes, weakest, 5)
+        # rows aren't repeated for their buckets
+        assert " MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selective_buckets_are_still_read_by_bucket(spark):
+    rnd = np.random.default_rng(6)
+    v, ids = np.round(rnd.standard_normal((200, 8)), 3), rnd.permutation(200)
+    e = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>")
+    planes = candidates.hyperplanes(8, 1, 4)
+    found = candidates.ann_search(e, e.where("id % 4 = 0"), "id", "v", 5, planes=planes, weakest=0)
+    assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == _bucket_oracle(v, ids, ids % 4 == 0, planes, 0, 5)
+    assert " MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_that_count_are_found_however_far_behind_others_they_are():
+    rnd = np.random.default_rng(7)
+    q, v = rnd.standard_normal((6, 5)), rnd.standard_normal((900, 5))
+    v[100:160] = v[3]
+    allowed = np.zeros((6, 900), dtype=bool)
+    allowed[:, ::2] = True
+    allowed[1, :], allowed[2, :] = False, False
+    far = np.argsort(((v - q[2]) ** 2).sum(axis=1))[-3:]
+    allowed[2, far] = True
+    i, j, d = candidates.nearest_in_block(q, v, 4, "euclidean", lambda a, b: allowed[a, b])
+    for x in range(6):
+        rows = np.flatnonzero(allowed[x])
+        want = np.sqrt(((v[rows] - q[x]) ** 2).sum(axis=1))
+        assert np.allclose(np.sort(want)[:4], d[i == x]) and set(j[i == x]) <= set(rows)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
 def test_block_distances_are_those_of_the_columns(spark, metric):
     from strataforge.functions import distance as distances
