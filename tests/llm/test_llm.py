@@ -415,6 +415,34 @@ def test_shards_are_even_and_groups_together(spark, odd, none):
     assert len(small) == len(ODD) and {r.doc_id: r.size for r in small}[1] == 8 and sharding.balanced_shards(none).count() == 0
 
 
+def test_steps_of_sharding_shuffle_nothing(spark):
+    """Groups are rows, so steps need no shuffle; a large group's copies meet in counted parts only."""
+    rows = [(i, "same") for i in range(900)] + [(1000 + i, f"pair {i // 2} " * (1 + i % 40 // 2)) for i in range(600)] + [(2000 + i, f"alone {i} " * 12) for i in range(900)]
+    docs, context, held = table(spark, rows), spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("24", "false")):
+        spark.conf.set(k, v)
+    context.setJobGroup("sharding", "counts tasks")
+    try:
+        out = sharding.balanced_shards(docs, shards=6).collect()
+        status = context.statusTracker()
+        stages = {x: status.getStageInfo(x) for j in status.getJobIdsForGroup("sharding") for x in status.getJobInfo(j).stageIds}
+        wide = [x for x in stages.values() if x and x.numTasks == 24 and x.numCompletedTasks]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(wide) <= 12                     # before, 5 or more for each step and 4 for each size class
+    by_text, shards = {}, {}
+    text = dict(rows)
+    for r in out:
+        by_text.setdefault(text[r.doc_id], set()).add(r.shard)
+        shards.setdefault(r.shard, []).append((r.slot, r.size))
+    assert len(out) == len(rows) and all(sorted(s for s, _ in x) == list(range(len(x))) for x in shards.values())
+    assert all(len(by_text[t]) == 1 for t in by_text if t.startswith(("pair", "same")))
+    loads = [sum(b for _, b in x) for x in shards.values()]
+    assert len(loads) == 6 and max(loads) - min(loads) <= 2 * max(r.size for r in out)
+
+
 # ---- 9
 
 def test_surrogates_keep_type_and_coreference(spark, odd, none):
