@@ -431,3 +431,25 @@ def test_min_hashes_are_those_of_sparks_function(spark, monkeypatch):
     assert {(r.id, r.band): r.bucket for r in bands.collect()} == want
     # before, each hash of each token was an expression of its own that Spark interprets
     assert "MapInArrow" in bands._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classes_of_bands_stand_for_all_candidate_pairs_in_fewer_rows(spark, tmp_path):
+    from strataforge.queries import queries
+
+    odd = ["", " ", "  lead", "trail  ", "A\x0bb\x0cc\r\nd", "no\xa0break \x1c here", None, "\u0130x I"]
+    rows = [(i, "one text of many copies " * 3 + ("" if i % 4 else f"end{i % 3}")) for i in range(200)] + [(300 + i, x) for i, x in enumerate(odd * 2)] + [(400 + i, f"text {i} alone {i * 7}") for i in range(41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bands = candidates.minhash_bands(docs, "doc_id", F.array_distinct(F.split(F.lower("text"), r"\s+")), 32, 4)
+    pairs = candidates.band_candidates(bands.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), bands, "query_id", "doc_id")
+    found = queries()["I7"](spark, str(tmp_path))
+    classes = found.collect()
+    asked = {}
+    members = {}
+    for r in classes:
+        members.setdefault((r.band, r.bucket), set()).add(r.doc_id)
+        if r.asked:
+            asked.setdefault(r.doc_id, set()).add((r.band, r.bucket))
+    assert {(q, x) for q, at in asked.items() for b in at for x in members[b]} == {(r.query_id, r.doc_id) for r in pairs.collect()}
+    assert len(classes) <= 8 * len(rows) and pairs.count() > len(classes)
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("MapInArrow") == 1       # one pass of min-hashes
