@@ -419,6 +419,39 @@ def test_near_sets_are_those_of_the_bands_without_making_pairs(spark, monkeypatc
     assert "FlatMapGroupsInArrow" in plan and "Join [band" not in plan
 
 
+@pytest.mark.parametrize("rows_met,portion", [(32768, 1 << 21), (40, 60)])
+def test_near_sets_leave_out_no_pair_within_reach(spark, tmp_path, monkeypatch, rows_met, portion):
+    for name, value in (("ROWS_MET", rows_met), ("LEAST_BLOCKS", 1), ("WORDS_MET", portion), ("CELLS", max(64, portion))):
+        monkeypatch.setattr(candidates, name, value, raising=False)
+    rnd, rows = random.Random(8), []
+    for pair in range(240):                 # 14 words of 20 in common, so at a distance of 0.3 exactly
+        words = [f"p{pair}w{i}" for i in range(20)]
+        rnd.shuffle(words)
+        rows += [(20 * pair, " ".join(words[:17])), (20 * pair + 1, " ".join(words[:14] + words[17:]))]
+    for i in range(90):                     # one family of near and exact copies, of common words and of many sizes
+        words = [f"c{w}" for w in range(40 + i // 3)]
+        rows.append((10000 + 5 * i, " ".join(words if i % 4 else [w for w in words if rnd.random() < .85])))
+    rows += [(20000, None), (20020, ""), (20021, ""), (20040, "x"), (20041, "X x"), (20041, "x"), (20041, "y"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [(i, set(t.lower().split(" "))) for i, t in rows if i is not None and t is not None]
+
+    def all_within(within):
+        pairs = [(q, i, round(1 - len(x & y) / len(x | y), 6)) for q, x in sets if q % 20 == 0 for i, y in sets if i != q]
+        return sorted(p for p in pairs if p[2] <= within)
+
+    want = all_within(.3)
+    assert sum(q < 4800 for q, _, _ in want) == 240 and len(want) > 700
+    # before, pairs without a band in common were left out
+    assert sorted((r.query_id, r.doc_id, r.distance) for r in QUERIES["C3"](spark, str(tmp_path)).collect()) == want
+    words = F.split(F.lower("text"), " ")
+    few = df.where("doc_id % 200 = 0 or doc_id >= 20000")
+    kept = {r.doc_id for r in few.collect()}
+    for within in (0, .9, 1):
+        found = candidates.near_sets(few, "doc_id", words, F.col("doc_id") % 20 == 0, within)
+        assert sorted((r.query_id, r.doc_id, r.distance) for r in found.collect()) == [p for p in all_within(within) if p[0] in kept and p[1] in kept]
+
+
 def test_min_hashes_are_those_of_sparks_function(spark, monkeypatch):
     monkeypatch.setattr(candidates, "TOKENS_AT_ONCE", 3)
     rnd = random.Random(6)
